@@ -55,9 +55,10 @@ def with_keys(df: DataFrame, g: Geometry) -> DataFrame:
     b = {a: bucket_of(F.col(f"j{a}")) for a in AXES}
     brick = flat(*(div(b[a], per) for a in AXES), nb)
     within = flat(*(b[a] - div(b[a], per) * per for a in AXES), per)
+    # a non-null key spares joins on it a null filter, which would copy the whole expression down
     return (
-        df.withColumn("brick", brick)
-        .withColumn("bucket", F.col("brick") * per**3 + within)
+        df.withColumn("brick", F.coalesce(brick, F.lit(-1)))
+        .withColumn("bucket", F.coalesce(F.col("brick") * per**3 + within, F.lit(-1)))
     )
 
 

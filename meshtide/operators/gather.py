@@ -93,7 +93,8 @@ def read_blocks(particles: DataFrame, blocks: DataFrame, fields: list[str], sche
     snap = "floor" if scheme == "cic" else "rint"
     own = [F.expr(f"pmod(cast({snap}({a} / {cell!r}D) as bigint), {n}L) div {side}") for a in "xyz"]
     names, schema = particles.columns, particles.schema
-    placed = particles.withColumn("block", (own[0] * nb + own[1]) * nb + own[2])
+    block = F.coalesce((own[0] * nb + own[1]) * nb + own[2], F.lit(-1))
+    placed = particles.withColumn("block", block)
     per_block = placed.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     chunks = per_block.select("block", F.ceil(F.col("m") / max_rows).cast("long").alias("chunks"))
     left = placed.join(chunks, "block").withColumn("chunk", F.col("salt") % F.col("chunks"))

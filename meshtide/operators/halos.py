@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshtide.config import Lattice
 from meshtide.functions import lattice as L
 from meshtide.operators.components import components
+from meshtide.session import durable
 
 # Member-count bin edges of the abundance and matching tables.
 COUNT_EDGES = (20, 50, 150, 500, 1500, 10**9)
@@ -116,7 +117,7 @@ def nearest(a: DataFrame, b: DataFrame, box: float, bits: int = 12) -> DataFrame
     step = 2
     side = box / 2**bits
     # points on one spot are interchangeable, so one of them stands for all
-    b = b.groupBy("x", "y", "z").agg(F.min("id").alias("b_id"))
+    b = durable(b.groupBy("x", "y", "z").agg(F.min("id").alias("b_id")))
     leaf = [F.least(F.floor(F.col(c) / side).cast("long"), F.lit(2**bits - 1)).alias(f"k{c}") for c in "xyz"]
     tree = b.select("b_id", *leaf, *(F.col(c).alias(f"b{c}") for c in "xyz"))
     cand = a.select(F.col("id").alias("a_id"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
@@ -141,8 +142,9 @@ def nearest(a: DataFrame, b: DataFrame, box: float, bits: int = 12) -> DataFrame
             near.append(f"pow(greatest({d} - {0.5 * w!r}D, 0.0D), 2)")
             far.append(f"pow(least({d} + {0.5 * w!r}D, {half!r}D), 2)")
         cand = cand.withColumns({"lo": F.expr(" + ".join(near)), "hi": F.expr(" + ".join(far))})
-        best = cand.groupBy("a_id").agg(F.min("hi").alias("ub"))
-        cand = cand.join(best, "a_id").filter(F.col("lo") <= F.col("ub") * (1.0 + 1e-12))
+        # a point keeps a bounded number of cells, so its window is small
+        cand = cand.withColumn("ub", F.min("hi").over(Window.partitionBy("a_id")))
+        cand = cand.filter(F.col("lo") <= F.col("ub") * (1.0 + 1e-12))
         here = f"((nx * {2**bits}L + ny) * {2**bits}L + nz)"
         cand = cand.select("a_id", "ax", "ay", "az", F.expr(here).alias("parent"))
     points = tree.select(F.expr(code(0)).alias("parent"), "b_id", "bx", "by", "bz")
@@ -154,6 +156,7 @@ def nearest(a: DataFrame, b: DataFrame, box: float, bits: int = 12) -> DataFrame
 
 def match(a: DataFrame, b: DataFrame, lat: Lattice, r_fac: float = 2.0) -> DataFrame:
     """(a_id, b_id, n_a, n_b, d): mutually nearest halos within r_fac R200m of the larger one."""
+    a, b = durable(a), durable(b)
     pts = lambda h: h.select(F.col("halo_id").alias("id"), F.col("cx").alias("x"),
                              F.col("cy").alias("y"), F.col("cz").alias("z"))
     ab = nearest(pts(a), pts(b), lat.box)

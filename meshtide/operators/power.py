@@ -122,7 +122,7 @@ def card_partials(mesh: DataFrame, field: str, n: int, box: float, edges, scale:
         if window_order:
             w2 = (K.window(kx, kv, kz, cell, window_order) ** 2).ravel()
         at, k, w, w2 = at[sel], k[sel], w[sel], w2[sel]
-        total = lambda v: np.bincount(at, weights=v * w, minlength=nb)
+        total = lambda v: np.bincount(at, weights=v * w, minlength=nb).astype(float)
         oracle = p_of_k(k) if p_of_k is not None and len(k) else np.zeros(len(k))
         sums = [total(raw / w2 - shot), total(raw), total(oracle), total(k), total(np.ones_like(k)), total(w2)]
         names = ["sum_p", "sum_raw", "sum_oracle", "sum_k", "sum_w", "sum_wcorr"]
@@ -171,7 +171,8 @@ def pk_card(mesh: DataFrame, n: int, box: float, n_particles: int, a_out: float,
     d2 = C.growth(a_out, cosmo) ** 2
     shot = box**3 / n_particles if subtract_shot else 0.0
     scale = 2.0**-frac_bits * float(n) ** 3 / n_particles
-    parts = card_partials(mesh, "q", n, box, edges, scale, lambda k: d2 * tab.power(k),
+    linear = tab.power_fn()
+    parts = card_partials(mesh, "q", n, box, edges, scale, lambda k: d2 * linear(k),
                           3 if deconvolve else 0, shot)
     return combine_card(parts, shot, min_weight)
 
@@ -247,7 +248,7 @@ def interlaced_pk(particles: DataFrame, n: int, box: float, n_particles: int,
         at = np.digitize(k, edges) - 1
         sel = (at >= 0) & (at < nb)
         at = at[sel]
-        sums = [np.bincount(at, weights=v[sel], minlength=nb) for v in (w, k * w, p * w)]
+        sums = [np.bincount(at, weights=v[sel], minlength=nb).astype(float) for v in (w, k * w, p * w)]
         return pa.table({"bin": pa.array(np.arange(nb), pa.int64()), "w": sums[0], "kw": sums[1], "pw": sums[2]})
 
     parts = S.ky_map(g, fields, n, fn, "bin long, w double, kw double, pw double")
@@ -281,7 +282,7 @@ def velocity_spectra(particles: DataFrame, n: int, box: float, n_particles: int)
         k = np.sqrt(k2).ravel()
         at = np.digitize(k, edges) - 1
         sel = (at >= 0) & (at < nb)
-        add = lambda v: np.bincount(at[sel], weights=(v.ravel() * w)[sel], minlength=nb)
+        add = lambda v: np.bincount(at[sel], weights=(v.ravel() * w)[sel], minlength=nb).astype(float)
         mom = np.abs(px) ** 2 + np.abs(py) ** 2 + np.abs(pz) ** 2
         return pa.table({"bin": pa.array(np.arange(nb), pa.int64()), "w": add(np.ones_like(k)), "kw": add(k),
                          "d": add(np.abs(rho) ** 2), "m": add(mom), "t": add(np.abs(theta) ** 2)})
@@ -316,7 +317,8 @@ def velocity_compare(a: DataFrame, b: DataFrame, n: int, box: float, n_particles
         k = np.sqrt(k2).ravel()
         at = np.digitize(k, edges) - 1
         sel = (at >= 0) & (at < nb)
-        add = lambda v: np.bincount(at[sel], weights=(np.asarray(v).ravel() * w)[sel], minlength=nb)
+        add = lambda v: np.bincount(
+            at[sel], weights=(np.asarray(v).ravel() * w)[sel], minlength=nb).astype(float)
         cols = {"bin": pa.array(np.arange(nb), pa.int64()), "w": add(np.ones_like(k)), "kw": add(k)}
         for name, x, y in zip(kinds, sides[0], sides[1]):
             cols[f"aa_{name}"] = sum(add(np.abs(v) ** 2) for v in x)

@@ -14,6 +14,7 @@ from meshtide.config import CODE_MAX, Geometry
 from meshtide.functions import dither as D
 from meshtide.functions import lattice as L
 from meshtide.operators.rank import prefix_sums, ranked
+from meshtide.session import durable
 
 CODED = ["brick", "bucket", "off_x", "off_y", "off_z", "w_x", "w_y", "w_z"]
 
@@ -95,7 +96,8 @@ def migrate(drifted: DataFrame, keep: list[str] | None = None) -> tuple[DataFram
 def drift_and_migrate(coded: DataFrame, scales: DataFrame, g: Geometry, c: float,
                       key: int | None = None, keep: list[str] | None = None
                       ) -> tuple[DataFrame, DataFrame]:
-    return migrate(drift(decode(coded, scales, g), g, c, key), keep)
+    # the drifted rows feed both the new scales and the new codes: store them once
+    return migrate(durable(drift(decode(coded, scales, g), g, c, key)), keep)
 
 
 def census(drifted: DataFrame) -> DataFrame:

@@ -17,15 +17,16 @@ from meshtide.sources.particles import lagrangian_grid, white_noise
 def colour(mesh: DataFrame, field: str, n: int, box: float, table: C.SpectrumTable,
            amplitude: float = 1.0, out: str = "delta") -> DataFrame:
     """White noise -> density pencils with power P(k); DC removed."""
-    f = lambda k: amplitude * np.sqrt(table.power(k) * n**3 / box**3)
+    power = table.power_fn()
+    f = lambda k: amplitude * np.sqrt(power(k) * n**3 / box**3)
     return S.solve(mesh, field, n, K.radial_kernel(n, box, f, 0.0, out), [out])
 
 
 def potential(mesh: DataFrame, field: str, n: int, box: float, cosmo: Cosmology, table: C.SpectrumTable,
               out: str = "phi") -> DataFrame:
     """White noise -> Gaussian primordial potential with delta = M phi."""
-    def f(k):
-        return np.sqrt(table.power(k) * n**3 / box**3) / C.poisson_M(k, cosmo, 0.0, table)
+    power, poisson = table.power_fn(), table.poisson_fn(cosmo)
+    f = lambda k: np.sqrt(power(k) * n**3 / box**3) / poisson(k)
     return S.solve(mesh, field, n, K.radial_kernel(n, box, f, 0.0, out), [out])
 
 
@@ -46,7 +47,7 @@ def linear_density(noise: DataFrame, field: str, n: int, box: float, cosmo: Cosm
     mean = mean_square(phi, "phi", n).scalar()
     bent = phi.withColumn("_m", mean).withColumn(
         "phi", F.expr(f"transform(phi, p -> p + {float(f_nl)!r}D * (p * p - _m))")).drop("_m")
-    f = lambda k: C.poisson_M(k, cosmo, 0.0, table)
+    f = table.poisson_fn(cosmo)
     return S.solve(bent, "phi", n, K.radial_kernel(n, box, f, 1.0, "delta"), ["delta"])
 
 
