@@ -123,10 +123,10 @@ SQL["bucket_starts"] = sql(ENC + ["b as (select brick, bucket, count(*) as n fro
                            "select *, coalesce(sum(n) over (partition by brick order by bucket rows between unbounded preceding and 1 preceding), 0)::bigint as start from b")
 SQL["capacity_spill"] = sql(ENC + [_RANK], "select r.* from r join sc using (brick) where rank >= floor(n * 9 / 10)")
 SQL["repack_slots"] = sql(ENC + [_RANK, _ALLOC], "select brick_start + rank as slot, brick, bucket from r join st using (brick)")
-_TB = ("bc as (select brick, n, brick // 64 as bx, brick // 8 % 8 as by, brick % 8 as bz from sc), "
+_TB = ("bc as (select brick, n, brick // 64 as ux, brick // 8 % 8 as uy, brick % 8 as uz from sc), "
        "tl as (select t, t // 16 as tx, t // 4 % 4 as ty, t % 4 as tz from range(64) r(t)), "
-       "tb as (select t as tile, brick, n, bx // 2 = tx and by // 2 = ty and bz // 2 = tz as owned from bc, tl where "
-       + " and ".join(f"{mod(f'b{a} - (t{a} * 2 - 1)', 8)} < 4" for a in "xyz") + ")")
+       "tb as (select t as tile, brick, n, (ux // 2) = tx and (uy // 2) = ty and (uz // 2) = tz as owned from bc, tl where "
+       + " and ".join(f"{mod(f'u{a} - (t{a} * 2 - 1)', 8)} < 4" for a in "xyz") + ")")
 SQL["tile_membership"] = sql(ENC + [_TB], "select * from tb")
 SQL["tile_members"] = sql(ENC + [_TB], "select tile, sum(n)::bigint as members, sum(case when owned then n else 0 end)::bigint as owned, count(*) as bricks from tb group by all")
 SQL["ownership_partition"] = sql(ENC, "select brick // 64 // 2 as tx, brick // 8 % 8 // 2 as ty, brick % 8 // 2 as tz, count(*) as owned from c group by all")
@@ -184,11 +184,6 @@ def mesh(src: str, scheme: str, n: int, name: str = "mesh", tag: str = "") -> li
     ]
 
 
-def touched(name: str, t: str) -> str:
-    """Cells some stencil reaches, also where codes round to zero."""
-    return f"{name}"
-
-
 CELLS = "select ix, iy, iz, q from mesh"
 SQL["cic_paint_int"] = sql([P] + mesh("p", "cic", 32), CELLS)
 SQL["tsc_paint_int"] = sql([P] + mesh("p", "tsc", N), CELLS)
@@ -498,7 +493,7 @@ _SUB = TSC + [
     "sp as (select *, (case when kx >= 2 then kx - 4 else kx end) as ax, (case when ky >= 2 then ky - 4 else ky end) as ay from sf)",
     f"pw as (select sub, avg((re*re + im*im) * {8.0**3 / 4.0**6!r}) as p from sp where sqrt(ax*ax + ay*ay + kz*kz) >= 0.5 and sqrt(ax*ax + ay*ay + kz*kz) < 1.5 group by sub)",
     "sv as (select sub, delta_bar, p from sm join pw using (sub))"]
-SQL["subvolume_power"] = sql(_SUB, f"select sub, {rd('delta_bar', 7)} as delta_bar, 0::bigint as band, {rd('p', 7)} as p from sv")
+SQL["subvolume_power"] = sql(_SUB, f"select sub, {rd('delta_bar', 9)} as delta_bar, 0::bigint as band, {rd('p', 7)} as p from sv")
 SQL["subvolume_response"] = sql(
     _SUB + ["mn as (select avg(p) as p_mean from sv)", "y as (select delta_bar as x, p / p_mean - 1.0 as y, p_mean from sv, mn)",
             "ft as (select any_value(p_mean) as p_mean, regr_slope(y, x) as slope, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, count(*) as n from y)"],

@@ -717,7 +717,7 @@ def cross_bispectrum(spark, sf):
 @query
 def subvolume_power(spark, sf):
     p = HI.subvolume_power(mesh(spark, sf), "q", N, BOX, 4, [2 * math.pi * 4 / BOX], scale=scale(spark, sf))
-    return rounded(p, 7, "delta_bar", "p")
+    return rounded(rounded(p, 9, "delta_bar"), 7, "p")
 
 
 @query
