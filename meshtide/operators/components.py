@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.session import durable
+from meshtide.session import durable, release
 
 
 def _ranked_id(c: str):
@@ -35,8 +35,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         maps.append(hook)
         ends = edges.join(hook, "a").select("b", F.col("p").alias("pa"))
         ends = ends.join(hook.withColumnRenamed("a", "b"), "b").select("pa", F.col("p").alias("pb"))
-        edges = durable(ends.filter("pa <> pb").select(
+        old, edges = edges, durable(ends.filter("pa <> pb").select(
             F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        release(old)
     label = None
     for m in reversed(maps):
         if label is None:

@@ -17,10 +17,10 @@ def global_order(df: DataFrame, order: list[str], parts: int | None = None) -> D
     """Add ``ordinal``: 0-based position in the order of the given columns (ties in any order)."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    mono = F.monotonically_increasing_id()
-    # the local numbering is stored, so that a retry cannot renumber rows
-    local = durable(placed.withColumn("_id", mono))
+    # a stored tie-break lets range partitioning split equal rows, and a retry cannot change it
+    tied = durable(df.withColumn("_tie", F.monotonically_increasing_id()))
+    placed = tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie")
+    local = durable(placed.drop("_tie").withColumn("_id", F.monotonically_increasing_id()))
     local = local.withColumn("_pid", F.shiftright("_id", 33))
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -321,7 +321,7 @@ def force_sql(factor: str, digits: int = 8) -> str:
 
 
 SQL["dft_spectrum"] = sql([P] + mesh("p", "tsc", N) + fft("mesh", ["q"], "f"),
-                          f"select kx, ky, kz, {rd('q_re / 4096.0', 5)} as re, {rd('q_im / 4096.0', 5)} as im from f")
+                          f"select kx, ky, kz, {rd('q_re', 1)} as re, {rd('q_im', 1)} as im from f")
 SQL["inverse_roundtrip"] = SQL["tsc_paint_int"]
 _S = f"exp(-{K2} * {GEO.r_s ** 2!r})"
 SQL["poisson_force"] = force_sql("1.0")
@@ -402,7 +402,7 @@ SQL["tophat_smoothed"] = sql(smooth([4.0, 6.0], True), f"select ix, iy, iz, {rd(
 _MODES = TSC + fft("d", ["d"], "f") + [waves("f", "fw")]
 _BIN = "cast(floor(sqrt(n2) - 0.5) as bigint)"
 SQL["shell_mask"] = sql([P] + mesh("p", "tsc", N) + fft("mesh", ["q"], "f") + [waves("f", "fw")],
-                        f"select kx, ky, kz, {rd('q_re / 4096.0', 5)} as re from fw where sqrt(n2) >= 2.5 and sqrt(n2) < 3.5")
+                        f"select kx, ky, kz, {rd('q_re', 1)} as re from fw where sqrt(n2) >= 2.5 and sqrt(n2) < 3.5")
 _NORM = BOX**3 / float(N) ** 6
 
 
@@ -493,7 +493,7 @@ _SUB = TSC + [
     "sp as (select *, (case when kx >= 2 then kx - 4 else kx end) as ax, (case when ky >= 2 then ky - 4 else ky end) as ay from sf)",
     f"pw as (select sub, avg((re*re + im*im) * {8.0**3 / 4.0**6!r}) as p from sp where sqrt(ax*ax + ay*ay + kz*kz) >= 0.5 and sqrt(ax*ax + ay*ay + kz*kz) < 1.5 group by sub)",
     "sv as (select sub, delta_bar, p from sm join pw using (sub))"]
-SQL["subvolume_power"] = sql(_SUB, f"select sub, {rd('delta_bar', 9)} as delta_bar, 0::bigint as band, {rd('p', 7)} as p from sv")
+SQL["subvolume_power"] = sql(_SUB, f"select sub, {rd('delta_bar', 12)} as delta_bar, 0::bigint as band, {rd('p', 7)} as p from sv")
 SQL["subvolume_response"] = sql(
     _SUB + ["mn as (select avg(p) as p_mean from sv)", "y as (select delta_bar as x, p / p_mean - 1.0 as y, p_mean from sv, mn)",
             "ft as (select any_value(p_mean) as p_mean, regr_slope(y, x) as slope, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, count(*) as n from y)"],

@@ -459,8 +459,7 @@ def tsc_gather(spark, sf):
 @query
 def dft_spectrum(spark, sf):
     m = S.modes(S.spectrum(mesh(spark, sf), "q", N), "q")
-    u = F.lit(2.0**-12)
-    return m.select("kx", "ky", "kz", rd(F.col("q_re") * u, 5).alias("re"), rd(F.col("q_im") * u, 5).alias("im"))
+    return m.select("kx", "ky", "kz", rd("q_re", 1).alias("re"), rd("q_im", 1).alias("im"))
 
 
 @query
@@ -592,7 +591,7 @@ def shell_mask(spark, sf):
     """Modes of one half-open shell."""
     m = S.modes(S.spectrum(mesh(spark, sf), "q", N), "q")
     k = F.sqrt(K.n2_column(N).cast("double"))
-    return m.filter((k >= 2.5) & (k < 3.5)).select("kx", "ky", "kz", rd(F.col("q_re") * F.lit(2.0**-12), 5).alias("re"))
+    return m.filter((k >= 2.5) & (k < 3.5)).select("kx", "ky", "kz", rd("q_re", 1).alias("re"))
 
 
 @query
@@ -717,7 +716,7 @@ def cross_bispectrum(spark, sf):
 @query
 def subvolume_power(spark, sf):
     p = HI.subvolume_power(mesh(spark, sf), "q", N, BOX, 4, [2 * math.pi * 4 / BOX], scale=scale(spark, sf))
-    return rounded(rounded(p, 9, "delta_bar"), 7, "p")
+    return rounded(rounded(p, 12, "delta_bar"), 7, "p")
 
 
 @query

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIR: str | None = None
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+
 
 def local_session(cores: int = 8, name: str = "meshtide") -> SparkSession:
     spark = (
@@ -23,19 +27,37 @@ def local_session(cores: int = 8, name: str = "meshtide") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; a local one only where none is set."""
-    sc = spark.sparkContext
+    """The shared folder the session names; a local one only where none is set."""
+    global _LOCAL_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not named:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            named = tempfile.mkdtemp(prefix="meshtide-checkpoint-")
-        sc.setCheckpointDir(named)
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if _LOCAL_DIR is None:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="meshtide-checkpoint-")
+    return _LOCAL_DIR
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a table in the checkpoint folder.
+
+    The table outlives executors, so a lost one costs a re-read and never a recomputation; later
+    stages read only the columns they need.  ``release`` drops it once it is superseded.
+    """
+    spark = df.sparkSession
+    where = f"{checkpoint_dir(spark)}/meshtide-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    _TABLES[id(out)] = (out, where)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``durable`` made; other frames are left alone."""
+    for df in frames:
+        held = _TABLES.pop(id(df), None)
+        if held is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(held[1])
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -66,8 +66,9 @@ def write_state(coded: DataFrame, scales: DataFrame, g: Geometry, where: str, pr
                        *(F.col(f"off_{a}").cast("short") for a in "xyz"),
                        *(F.col(f"w_{a}").cast("short") for a in "xyz"))
     # range partitioning splits a crowded slab over several files, each sorted by bucket
-    placed = rows.repartitionByRange("bx", "brick", "bucket", "off_x", "off_y", "off_z")
-    placed.sortWithinPartitions("bx", "bucket").write.mode("overwrite").partitionBy("bx").parquet(f"{where}/slabs")
+    placed = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange("bx", "brick", "bucket", "_tie").sortWithinPartitions("bx", "bucket")
+    placed.drop("_tie").write.mode("overwrite").partitionBy("bx").parquet(f"{where}/slabs")
     scales.select(F.col("brick").cast("int"), "vel_scale", F.col("n").cast("long")).write.mode(
         "overwrite").parquet(f"{where}/bricks")
     stored = spark.read.parquet(f"{where}/slabs")
