@@ -1,11 +1,13 @@
 """Order-free stochastic rounding offsets: a splitmix64 finaliser of the lattice position.
 
-Spark's bigint multiply raises on overflow, so products modulo 2^64 are formed from 16- and
-32-bit limbs.  Everything stays inside generated JVM code.
+Spark's bigint multiply raises on overflow, and limb arithmetic inside a fused stage outgrows
+what the JVM compiles, so the 64-bit wrap-around products run on NumPy columns in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,30 +16,6 @@ AXIS_MUL = {"x": 0x9E3779B97F4A7C15, "y": 0xC2B2AE3D27D4EB4F, "z": 0x165667B19E3
 KEY_MUL = 0xD6E8FEB86659FD93
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 MASK64 = 2**64 - 1
-LOW32 = 4294967295
-
-
-def signed64(v: int) -> int:
-    v &= MASK64
-    return v - 2**64 if v >= 2**63 else v
-
-
-def literal64(v: int) -> str:
-    """SQL bigint literal of the two's complement of v (the minimum has no positive form)."""
-    s = signed64(v)
-    return f"{s}L" if s != -(2**63) else "(-9223372036854775807L - 1L)"
-
-
-def mul_sql(z: str, const: int) -> str:
-    """z * const modulo 2^64 for a bigint column name z."""
-    c = [(const >> (16 * i)) & 0xFFFF for i in range(4)]
-    lo, hi = f"({z} & {LOW32}L)", f"shiftrightunsigned({z}, 32)"
-    mid = f"({lo} * {c[1]}L)"
-    low = f"({lo} * {c[0]}L + shiftleft({mid} & 65535L, 16))"
-    top = (f"(shiftright({low}, 32) + shiftright({mid}, 16) + {lo} * {c[2]}L"
-           f" + shiftleft(({lo} * {c[3]}L) & 65535L, 16) + {hi} * {c[0]}L"
-           f" + shiftleft(({hi} * {c[1]}L) & 65535L, 16))")
-    return f"(shiftleft({top} & {LOW32}L, 32) | ({low} & {LOW32}L))"
 
 
 def drift_key(step: int | None, after_snapshot: bool = False) -> int:
@@ -49,14 +27,23 @@ def drift_key(step: int | None, after_snapshot: bool = False) -> int:
 
 def with_dither(df: DataFrame, key: int, out: str = "u") -> DataFrame:
     """Add u_x, u_y, u_z in [0, 1) from jx, jy, jz and the drift's key (names: ``{out}_{axis}``)."""
-    keep = df.columns
-    h = df.withColumns({f"_m{a}": F.expr(mul_sql(f"j{a}", AXIS_MUL[a])) for a in "xyz"})
-    h = h.withColumn("_h", F.expr("_mx ^ _my ^ _mz"))
-    salt = {a: (key * 3 + i) * KEY_MUL for i, a in enumerate("xyz", 1)}
-    h = h.withColumns({f"_z{a}": F.expr(f"_h ^ {literal64(salt[a])}") for a in "xyz"})
-    for shift, mul in ((30, MIX[0]), (27, MIX[1])):
-        h = h.withColumns({f"_s{a}": F.expr(f"_z{a} ^ shiftrightunsigned(_z{a}, {shift})") for a in "xyz"})
-        h = h.withColumns({f"_z{a}": F.expr(mul_sql(f"_s{a}", mul)) for a in "xyz"})
-    bits = {a: f"shiftrightunsigned(_z{a} ^ shiftrightunsigned(_z{a}, 31), 11)" for a in "xyz"}
-    u = [F.expr(f"cast({bits[a]} as double) * {2.0**-53!r}D").alias(f"{out}_{a}") for a in "xyz"]
-    return h.select(*keep, *u)
+    salts = [(key * 3 + axis) * KEY_MUL & MASK64 for axis in (1, 2, 3)]
+    spread, mix = list(AXIS_MUL.values()), MIX
+
+    def offsets(jx: pd.Series, jy: pd.Series, jz: pd.Series) -> pd.DataFrame:
+        u64 = np.uint64
+        with np.errstate(over="ignore"):
+            parts = [j.to_numpy().astype(u64) * u64(m) for j, m in zip((jx, jy, jz), spread)]
+            h = parts[0] ^ parts[1] ^ parts[2]
+            cols = {}
+            for axis, salt in zip("xyz", salts):
+                z = h ^ u64(salt)
+                for shift, m in zip((30, 27), mix):
+                    z = (z ^ (z >> u64(shift))) * u64(m)
+                z ^= z >> u64(31)
+                cols[axis] = (z >> u64(11)).astype(np.float64) * 2.0**-53
+        return pd.DataFrame(cols)
+
+    udf = F.pandas_udf(offsets, "x double, y double, z double")
+    rows = df.withColumn("_u", udf("jx", "jy", "jz"))
+    return rows.select(*df.columns, *(F.col(f"_u.{a}").alias(f"{out}_{a}") for a in "xyz"))
