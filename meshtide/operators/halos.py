@@ -53,18 +53,18 @@ def fof_cells(particles: DataFrame, lat: Lattice, b: float = 0.2) -> tuple[DataF
     pos = L.flat(F.col("jx"), F.col("jy"), F.col("jz"), n)
     at = {a: F.expr(f"(j{a} * {m}L) div {n}L") for a in L.AXES}
     rows = rows.select(pos.alias("pos"), L.flat(at["x"], at["y"], at["z"], m).alias("cell"))
-    positions = rows.groupBy("pos", "cell").agg(F.count(F.lit(1)).alias("n"))
+    positions = durable(rows.groupBy("pos", "cell").agg(F.count(F.lit(1)).alias("n")))
     # at most (levels per cell)^3 distinct positions in a list
-    cells = positions.groupBy("cell").agg(F.collect_list("pos").alias("at"))
+    cells = durable(positions.groupBy("cell").agg(F.collect_list("pos").alias("at")))
     offsets = ", ".join(f"struct({x}L as x, {y}L as y, {z}L as z)" for x, y, z in half)
     keys = cells.select("cell", F.explode(F.expr(f"array({offsets})")).alias("o"))
     c = F.col("cell")
     moved = [F.pmod(v + F.col(f"o.{a}"), F.lit(m)) for a, v in
              zip("xyz", (L.div(c, m * m), L.div(c, m) % m, c % m))]
     pairs = keys.select(F.col("cell").alias("a"), L.flat(*moved, m).alias("b"))
-    pairs = pairs.join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
-    pairs = pairs.join(cells.select(F.col("cell").alias("a"), F.col("at").alias("pa")), "a")
+    # most neighbour keys meet no particle: they drop out before the second side is attached
     pairs = pairs.join(cells.select(F.col("cell").alias("b"), F.col("at").alias("pb")), "b")
+    pairs = pairs.join(cells.select(F.col("cell").alias("a"), F.col("at").alias("pa")), "a")
 
     def gap(unit: int) -> str:
         d = f"abs((p div {unit}L) % {n}L - (q div {unit}L) % {n}L)"

@@ -49,7 +49,7 @@ def prefix_sums(sizes: DataFrame, key: str, value: str, out: str, block: int = 4
 def ranked(df: DataFrame, group: str, order: list[str], out: str = "rank") -> DataFrame:
     """Add the 0-based rank of each row inside its integer ``group``."""
     ordered = global_order(df, [group, *order])
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = ordered.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     starts = prefix_sums(sizes, group, "_size", "_first").select(group, "_first")
     joined = ordered.join(starts, group)
     return joined.withColumn(out, F.col("ordinal") - F.col("_first")).select(*df.columns, out)
