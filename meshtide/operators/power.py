@@ -78,7 +78,6 @@ def join_meshes(a: DataFrame, b: DataFrame, va: str, vb: str) -> DataFrame:
 def band_power(mesh: DataFrame, field: str, n: int, box: float, shells: list[tuple[float, float]],
                scale: float = 1.0) -> DataFrame:
     """(shell, p, n_modes) on given [k_lo, k_hi) shells; an empty shell gives NaN and 0."""
-    spark = mesh.sparkSession
     m = S.modes(S.spectrum(mesh, field, n), field)
     kf = 2.0 * math.pi / box
     k = F.sqrt(K.n2_column(n).cast("double")) * F.lit(kf)
