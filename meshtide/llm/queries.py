@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import line_dedup
+from meshtide.llm import line_dedup, simhash
 from meshtide.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
+    "op10_simhash_near_dup": lambda spark, sf: simhash.digests(documents(spark, sf)),
 }
 
 SQL: dict[str, str] = {
