@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import line_dedup, simhash
+from meshtide.llm import line_dedup, mixing, simhash
 from meshtide.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
+    "op5_source_mixing": lambda spark, sf: mixing.digests(documents(spark, sf)),
     "op10_simhash_near_dup": lambda spark, sf: simhash.digests(documents(spark, sf)),
 }
 
 SQL: dict[str, str] = {
+    "op5_source_mixing": mixing.SQL,
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
