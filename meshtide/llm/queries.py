@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import line_dedup, mixing, quality_classifier, quality_rules, simhash
+from meshtide.llm import bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash
 from meshtide.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
     "op5_source_mixing": lambda spark, sf: mixing.digests(documents(spark, sf)),
+    "op6_byte_bpe": lambda spark, sf: bpe.round_trip(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     "op7_quality_rules": lambda spark, sf: quality_rules.digests(documents(spark, sf), labels(spark, sf)),
     "op9_quality_classifier": lambda spark, sf: quality_classifier.digests(documents(spark, sf), labels(spark, sf)),
     "op10_simhash_near_dup": lambda spark, sf: simhash.digests(documents(spark, sf)),
