@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.pieces import cut
-from meshtide.llm.shared import arrow_map
+from meshtide.llm.shared import arrow_map, per_worker
 
 NONE = np.int32(2**31 - 1)
 LONG = 2048
@@ -192,10 +191,9 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
 def codec(name: str, pattern: str) -> Codec:
     """One per worker process; ``name`` is that of a file shipped with the job."""
-    return Codec(SparkFiles.get(name), pattern)
+    return per_worker(("bpe", name, pattern), lambda: Codec(SparkFiles.get(name), pattern))
 
 
 def slices(texts: list[str], chars: int = 1 << 20):

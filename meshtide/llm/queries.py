@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash
+from meshtide.llm import bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_files
 from meshtide.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
+    "op3_token_files": lambda spark, sf: token_files.digests(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json")),
     "op5_source_mixing": lambda spark, sf: mixing.digests(documents(spark, sf)),
     "op6_byte_bpe": lambda spark, sf: bpe.round_trip(
         documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -96,3 +98,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, pa.Array]]], Itera
                 [c.cast(f.type) if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in fields], schema=fields)
 
     return df.mapInArrow(run, spark_schema)
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """One value per key and Python process, for all its tasks.
+
+    Task functions are shipped by value, so a task's module globals are its own; a module of the process holds the values.
+    """
+    held = sys.modules.setdefault("meshtide_worker_state", types.ModuleType("meshtide_worker_state")).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
