@@ -20,11 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes
-
-SHARDS = 256
-PROBES = 4
-
+from meshtide.llm.bloom import HASHES, at_most_twice, build
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, skewed_join
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     """The key of every line, None where it is too short to count. ``bytes`` methods touch ASCII only."""
@@ -36,71 +33,23 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def bit_places(h: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES places of each hash in a filter of ``bits`` (a power of two), one row each."""
-    step = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20) | np.uint64(1)
-    return np.stack([((h >> np.uint64(8)) + np.uint64(j) * step) & np.uint64(bits - 1) for j in range(PROBES)])
-
-
-def shard_of(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SHARDS - 1)).astype(np.int32)
-
-
 def _hashes(min_chars: int):
-    def run(batches):
-        once: set[int] = set()
-        twice: set[int] = set()
-
-        def flush():
-            h = np.fromiter(once, np.uint64, len(once))
-            t = np.fromiter(twice, np.uint64, len(twice))
-            all_h = np.concatenate([h, t])  # a hash seen twice here goes out twice
-            return {"shard": shard_of(all_h), "h": all_h.view(np.int64)}
+    """Hashes of line keys, those of one document once."""
 
+    def own(batches):
         for b in batches:
             for text in b["text"].to_pylist():
-                for key in set(line_keys(text, min_chars)):
-                    if key is not None:
-                        h = xxhash.xxh3_64_intdigest(key)
-                        (twice if h in once else once).add(h)
-                if len(once) > 500_000:
-                    yield flush()
-                    once.clear()
-                    twice.clear()
-        yield flush()
-
-    return run
+                keys = set(line_keys(text, min_chars))
+                keys.discard(None)
+                yield np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
+    return lambda batches: at_most_twice(own(batches))
 
-def _filters(bits: int):
-    """Rows sorted by shard in; each shard's packed twice-seen filter out."""
 
-    def run(batches):
-        at, seen, again = None, None, None
-        for b in batches:
-            shard, h = b["shard"].to_numpy(), b["h"].to_numpy().view(np.uint64)
-            edges = np.flatnonzero(np.diff(shard)) + 1
-            for part in np.split(np.arange(len(h)), edges) if len(h) else []:
-                if shard[part[0]] != at:
-                    if at is not None:
-                        yield {"shard": [at], "bits": [np.packbits(again).tobytes()]}
-                    at, seen, again = int(shard[part[0]]), np.zeros(bits, bool), np.zeros(bits, bool)
-                u, n = np.unique(h[part], return_counts=True)
-                places = bit_places(u, bits)
-                hit = (n > 1) | seen[places].all(axis=0)
-                again[places[:, hit]] = True
-                seen[places] = True
-        if at is not None:
-            yield {"shard": [at], "bits": [np.packbits(again).tobytes()]}
-
-    return run
-
-
-def _suspects(filters, bits: int, min_chars: int):
+def _suspects(shipped, min_chars: int):
     """One row per document and suspected key, as a 128-bit digest."""
 
     def run(batches):
-        table = filters.value
         for b in batches:
             keys, rows = [], []
             for i, text in enumerate(b["text"].to_pylist()):
@@ -109,7 +58,7 @@ def _suspects(filters, bits: int, min_chars: int):
                 keys += own
                 rows += [i] * len(own)
             h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-            hit = np.flatnonzero(table_hits(table, h, bits))
+            hit = np.flatnonzero(shipped.value.hits(h))
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in hit), "<i8").reshape(-1, 2)
             take = pa.array(np.array(rows, np.int64)[hit])
             yield {"doc_id": b["doc_id"].take(take), "same": b["same"].take(take), "k1": digest[:, 0].copy(), "k2": digest[:, 1].copy()}
@@ -117,14 +66,6 @@ def _suspects(filters, bits: int, min_chars: int):
     return run
 
 
-def table_hits(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """Whether each hash is in the twice-seen filter of its shard; ``table`` is (SHARDS, bits / 8) bytes."""
-    shard, hit = shard_of(h), np.ones(len(h), bool)
-    for place in bit_places(h, bits):
-        hit &= (table[shard, place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-    return hit
-
-
 def _rewrite(min_chars: int, fields: list[str]):
     def run(batches):
         for b in batches:
@@ -152,23 +93,14 @@ def dropped_keys(docs: DataFrame, scratch: Scratch, min_docs: int = 3, min_chars
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("same"), as_bytes().alias("text"))
-    hashes = scratch.cut(arrow_map(texts.select("text"), _hashes(min_chars), "shard int, h long"))
-    bits = 1 << min(max(10, int(10 * hashes.count() / SHARDS).bit_length()), (max_filter_mb * 2**23 // SHARDS).bit_length() - 1)
-    packed = np.zeros((SHARDS, bits // 8), np.uint8)
-    sketch = arrow_map(hashes.repartition("shard").sortWithinPartitions("shard"), _filters(bits), "shard int, bits binary")
-    for shard, filled in sketch.toLocalIterator():
-        packed[shard] = np.frombuffer(filled, np.uint8)
+    hashes = scratch.cut(arrow_map(texts.select("text"), _hashes(min_chars), HASHES))
+    repeated = spark.sparkContext.broadcast(build(hashes, twice=True, max_mb=max_filter_mb))
     scratch.drop(hashes)
-    found = scratch.cut(arrow_map(texts, _suspects(spark.sparkContext.broadcast(packed), bits, min_chars),
-                                  "doc_id long, same long, k1 long, k2 long"))
-    counted = scratch.cut(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs))
-    # Keys above a 1/2000 share of all rows are at most 2000, so they may be broadcast; no other key is large.
-    rows = counted.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(counted.where(F.col("n") >= max(1000, rows // 2000)))
-    cold = counted.where(F.col("n") < max(1000, rows // 2000))
-    loses = found.join(hot, ["k1", "k2"]).unionByName(found.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"]))
+    found = scratch.cut(arrow_map(texts, _suspects(repeated, min_chars), "doc_id long, same long, k1 long, k2 long"))
+    counted = scratch.cut(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("stays")).where(F.col("n") >= min_docs), few=True)
+    loses = skewed_join(found, counted, ["k1", "k2"])
     loses = loses.where(~F.col("doc_id").eqNullSafe(F.col("stays")))
-    gone = scratch.cut(loses.groupBy("doc_id", "same").agg(F.collect_set(F.struct("k1", "k2")).alias("gone")))
+    gone = scratch.cut(loses.groupBy("doc_id", "same").agg(F.collect_set(F.struct("k1", "k2")).alias("gone")), few=True)
     for table in (found, counted):
         scratch.drop(table)
     return gone

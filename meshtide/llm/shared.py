@@ -49,9 +49,15 @@ class Scratch:
         self.made.append(where)
         return where
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back: no lineage before this point is run again."""
+    def cut(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """Write ``df`` and read it back: no lineage before this point is run again.
+
+        ``few``: for a table much smaller than the shuffle before it, fewer and larger files.
+        """
         where = self.new_folder()
+        if few:
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, tasks // 8))
         df.write.parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch = where
@@ -100,6 +106,17 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, pa.Array]]], Itera
     return df.mapInArrow(run, spark_schema)
 
 
+def skewed_join(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of the stored table ``rows`` with ``counted``, one row per key with its number ``n`` of rows there.
+
+    Keys above a 1/2000 share of all rows are at most 2000 and are broadcast; no other key is large in a task.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= max(1000, total // 2000)
+    hot = F.broadcast(counted.where(often))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(counted.where(~often), on))
+
+
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
     """One value per key and Python process, for all its tasks.
 
