@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import bpe, fingerprints, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_files
+from meshtide.llm import bpe, byte_repeats, fingerprints, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_files
 from meshtide.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_byte_repeats": lambda spark, sf: byte_repeats.digests(documents(spark, sf)),
     "op2_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
     "op3_token_files": lambda spark, sf: token_files.digests(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json")),
     "op4_fingerprints": lambda spark, sf: fingerprints.compare_to_next(documents(spark, sf)),
