@@ -20,6 +20,7 @@ REPEAT = np.uint64(0xA0761D6478BD642F)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 POWERS = np.cumprod(np.full(64, K | np.uint64(1)))
+FAR_POWERS = np.cumprod(np.full(64, MIX[1] | np.uint64(1)))
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -41,6 +42,20 @@ def bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def word_hashes(joined: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word, in order, and the number of its document."""
+    space = SPACES[joined]
+    edge = np.diff(np.concatenate([[1], space.astype(np.int8)]))
+    first, past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    size = past - first
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    wide = joined[~space].astype(np.uint64) + np.uint64(1)
+    h = np.add.reduceat(wide * POWERS[inside & 63] * FAR_POWERS[inside >> 6 & 63], np.cumsum(size) - size)
+    return h ^ size.astype(np.uint64) * MIX[0], np.searchsorted(ends, first).astype(np.int32)
+
+
 def features(joined: np.ndarray, ends: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (buckets, document number ascending) that together hold every feature of every document once."""
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -57,16 +72,9 @@ def features(joined: np.ndarray, ends: np.ndarray, bits: int) -> Iterator[tuple[
         doc = np.repeat(np.arange(len(ends), dtype=np.int32), sizes)
         at = np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
         yield bucket(h[at], bits), doc
-    space = SPACES[joined]
-    edge = np.diff(np.concatenate([[1], space.astype(np.int8)]))
-    first, past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(first):
+    h, doc = word_hashes(joined, ends)
+    if not len(h):
         return
-    size = past - first
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    h = np.add.reduceat(wide[~space] * POWERS[inside & 63], np.cumsum(size) - size)
-    h ^= size.astype(np.uint64) * MIX[0]
-    doc = np.searchsorted(ends, first).astype(np.int32)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     h = np.where(again, REPEAT, h)

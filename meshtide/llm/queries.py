@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import bpe, byte_repeats, fingerprints, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_files
+from meshtide.llm import bpe, byte_repeats, fingerprints, line_dedup, mixing, passages, quality_classifier, quality_rules, simhash, token_files
 from meshtide.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op6_byte_bpe": lambda spark, sf: bpe.round_trip(
         documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     "op7_quality_rules": lambda spark, sf: quality_rules.digests(documents(spark, sf), labels(spark, sf)),
+    "op8_passages": lambda spark, sf: passages.digests(documents(spark, sf)),
     "op9_quality_classifier": lambda spark, sf: quality_classifier.digests(documents(spark, sf), labels(spark, sf)),
     "op10_simhash_near_dup": lambda spark, sf: simhash.digests(documents(spark, sf)),
 }
