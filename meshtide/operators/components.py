@@ -16,14 +16,12 @@ def _ranked_id(c: str):
     return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), undirected edges (a, b) -> (id, root); every component shares one root."""
     edges = durable(edges.filter("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps = []
-    while not edges.isEmpty():
-        if len(maps) >= max_rounds:
-            raise RuntimeError("components did not converge")
+    maps, left = [], edges.count()
+    while left:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(_ranked_id("b")).alias("m"))
         hook = best.select("a", F.least(F.col("m"), _ranked_id("a"))["id"].alias("p"))
@@ -38,6 +36,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         old, edges = edges, durable(ends.filter("pa <> pb").select(
             F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         release(old)
+        # every end of an edge hooks to its least neighbour or itself, so some edge contracts in every round
+        before, left = left, edges.count()
+        if left >= before:
+            raise RuntimeError("a round of contraction made no progress")
     label = None
     for m in reversed(maps):
         if label is None:
@@ -47,5 +49,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             label = m.join(up, "p", "left").select("a", F.coalesce("root", "p").alias("root"))
     if label is None:
         return nodes.select("id", F.col("id").alias("root"))
+    if len(maps) > 1:
+        label = durable(label)
+        release(*maps)
     found = nodes.join(label.withColumnRenamed("a", "id"), "id", "left")
     return found.select("id", F.coalesce("root", "id").alias("root"))

@@ -10,17 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshtide.session import durable
+from meshtide.session import durable, release
 
 
 def global_order(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Add ``ordinal``: 0-based position in the order of the given columns (ties in any order)."""
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a stored tie-break lets range partitioning split equal rows, and a retry cannot change it
     tied = durable(df.withColumn("_tie", F.monotonically_increasing_id()))
+    if parts is None:
+        # a partition numbers its rows in 33 bits; this keeps it far below
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tied.count() >> 24)
     placed = tied.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie")
     local = durable(placed.drop("_tie").withColumn("_id", F.monotonically_increasing_id()))
+    release(tied)
     local = local.withColumn("_pid", F.shiftright("_id", 33))
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

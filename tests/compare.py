@@ -52,7 +52,7 @@ def difference(a, b):
 
 
 def main():
-    from meshtide.session import local_session
+    from meshtide.session import local_session, tables_freed
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     want = sys.argv[2].split(",") if len(sys.argv) > 2 else list(entry.queries())
     spark, con = local_session(8), connect(sf)
@@ -60,7 +60,8 @@ def main():
     for name in want:
         t0 = time.time()
         try:
-            got = entry.queries()[name](spark, sf).toPandas()
+            with tables_freed():
+                got = entry.queries()[name](spark, sf).toPandas()
             t1 = time.time()
             if name not in sql:
                 weak.append(name)
