@@ -49,6 +49,11 @@ def flat(x: Column, y: Column, z: Column, n: int) -> Column:
     return (x * n + y) * n + z
 
 
+def no_position() -> Column:
+    """Raises, in place of the key of a row without a position."""
+    return F.raise_error(F.lit("a particle has a null position")).cast("long")
+
+
 def with_keys(df: DataFrame, g: Geometry) -> DataFrame:
     """Add ``brick`` and ``bucket`` (brick-major ordinal) from jx, jy, jz."""
     per, nb = g.buckets_per_brick_side, g.bricks
@@ -56,10 +61,8 @@ def with_keys(df: DataFrame, g: Geometry) -> DataFrame:
     brick = flat(*(div(b[a], per) for a in AXES), nb)
     within = flat(*(b[a] - div(b[a], per) * per for a in AXES), per)
     # a non-null key spares joins on it a null filter, which would copy the whole expression down
-    return (
-        df.withColumn("brick", F.coalesce(brick, F.lit(-1)))
-        .withColumn("bucket", F.coalesce(F.col("brick") * per**3 + within, F.lit(-1)))
-    )
+    brick = F.coalesce(brick, no_position())
+    return df.withColumn("brick", brick).withColumn("bucket", F.coalesce(F.col("brick") * per**3 + within, no_position()))
 
 
 def bucket_axes(bucket: Column, g: Geometry) -> dict[str, Column]:

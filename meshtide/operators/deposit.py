@@ -121,10 +121,3 @@ def density_contrast(mesh: DataFrame, n: int, n_particles, frac_bits: int = 12)
     full = grid(mesh.sparkSession, n).join(mesh, ["ix", "iy", "iz"], "left")
     q = F.coalesce(F.col("q"), F.lit(0)).cast("double") * F.lit(2.0**-frac_bits)
     return full.select("ix", "iy", "iz", (q / mean - F.lit(1.0)).alias("delta"))
-
-
-def check_peak(mesh: DataFrame) -> DataFrame:
-    """Raise if a cell reached 2^31 code units."""
-    ok = F.abs(F.col("q")) < F.lit(2**31)
-    err = F.raise_error(F.lit("deposit peak reached 2^31 code units")).cast("long")
-    return mesh.withColumn("q", F.when(ok, F.col("q")).otherwise(err))

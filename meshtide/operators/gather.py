@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshtide.functions.lattice import div
+from meshtide.functions.lattice import div, no_position
 from meshtide.functions.stencil import REACH
 
 MAX_ROWS = 131_072
@@ -93,7 +93,7 @@ def read_blocks(particles: DataFrame, blocks: DataFrame, fields: list[str], sche
     snap = "floor" if scheme == "cic" else "rint"
     own = [F.expr(f"pmod(cast({snap}({a} / {cell!r}D) as bigint), {n}L) div {side}") for a in "xyz"]
     names, schema = particles.columns, particles.schema
-    block = F.coalesce((own[0] * nb + own[1]) * nb + own[2], F.lit(-1))
+    block = F.coalesce((own[0] * nb + own[1]) * nb + own[2], no_position())
     placed = particles.withColumn("block", block)
     per_block = placed.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     chunks = per_block.select("block", F.ceil(F.col("m") / max_rows).cast("long").alias("chunks"))

@@ -19,8 +19,8 @@ from meshtide.functions import lattice as L
 from meshtide.operators.components import components
 from meshtide.session import durable
 
-# Member-count bin edges of the abundance and matching tables.
-COUNT_EDGES = (20, 50, 150, 500, 1500, 10**9)
+# Lower member-count edges of the abundance and matching tables; the last bin is open.
+COUNT_EDGES = (20, 50, 150, 500, 1500)
 RHO_CRIT = 2.77536627e11  # h^2 Msun / Mpc^3
 
 
@@ -106,7 +106,21 @@ def r200m(n, lat: Lattice):
     return F.lit(lat.spacing) * F.pow(F.lit(3.0 / (800.0 * math.pi)) * n, F.lit(1.0 / 3.0))
 
 
-def nearest(a: DataFrame, b: DataFrame, box: float, bits: int = 12) -> DataFrame:
+LEAF_POINTS = 256
+LEAF_BITS = (12, 16, 20)  # three of the finest indices fit a long
+
+
+def leaf_bits(b: DataFrame, box: float) -> int:
+    """The coarsest leaf cells that hold at most LEAF_POINTS distinct points each, or the finest there are."""
+    for bits in LEAF_BITS[:-1]:
+        own = [F.floor(F.col(c) * (2**bits / box)).alias(f"k{c}") for c in "xyz"]
+        most = b.select(*own).groupBy("kx", "ky", "kz").count().agg(F.max("count")).first()[0] or 0
+        if most <= LEAF_POINTS:
+            return bits
+    return LEAF_BITS[-1]
+
+
+def nearest(a: DataFrame, b: DataFrame, box: float) -> DataFrame:
     """(a_id, b_id, d): each point of a (id, x, y, z) with its periodic nearest point of b.
 
     A descent through nested cells: for every point keep only the cells that can still hold its
@@ -115,9 +129,10 @@ def nearest(a: DataFrame, b: DataFrame, box: float, bits: int = 12) -> DataFrame
     Equal distances resolve to the smaller id; coincident points of b keep the smallest id.
     """
     step = 2
-    side = box / 2**bits
     # points on one spot are interchangeable, so one of them stands for all
     b = durable(b.groupBy("x", "y", "z").agg(F.min("id").alias("b_id")))
+    bits = leaf_bits(b, box)
+    side = box / 2**bits
     leaf = [F.least(F.floor(F.col(c) / side).cast("long"), F.lit(2**bits - 1)).alias(f"k{c}") for c in "xyz"]
     tree = b.select("b_id", *leaf, *(F.col(c).alias(f"b{c}") for c in "xyz"))
     cand = a.select(F.col("id").alias("a_id"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
@@ -169,11 +184,11 @@ def match(a: DataFrame, b: DataFrame, lat: Lattice, r_fac: float = 2.0) -> DataF
 
 
 def count_bin(n, edges=COUNT_EDGES):
-    """Half-open member-count bin, null below the first edge."""
+    """Number of the bin whose lower edge is the last at or below n; null below the first edge."""
     out = F.lit(None).cast("int")
-    for i, e in enumerate(edges[:-1]):
+    for i, e in enumerate(edges):
         out = F.when(n >= e, i).otherwise(out)
-    return F.when(n < edges[-1], out)
+    return out
 
 
 def abundance(a: DataFrame, b: DataFrame, edges=COUNT_EDGES) -> DataFrame:
@@ -181,7 +196,7 @@ def abundance(a: DataFrame, b: DataFrame, edges=COUNT_EDGES) -> DataFrame:
     spark = a.sparkSession
     side = lambda h, c: (h.select(count_bin(F.col("n"), edges).alias("bin")).filter("bin is not null")
                          .groupBy("bin").agg(F.count(F.lit(1)).alias(c)))
-    bins = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
+    bins = spark.range(len(edges)).select(F.col("id").cast("int").alias("bin"))
     lows = F.element_at(F.array(*(F.lit(e).cast("long") for e in edges)), F.col("bin") + 1)
     out = bins.join(side(a, "n_a"), "bin", "left").join(side(b, "n_b"), "bin", "left").fillna(0)
     ratio = F.when(F.col("n_b") > 0, F.col("n_a") / F.col("n_b")).otherwise(F.lit(float("nan")))
@@ -200,7 +215,10 @@ def match_table(pairs: DataFrame, a: DataFrame, b: DataFrame, lat: Lattice, edge
         F.percentile("off", F.lit(0.5)).alias("med_offset"))
     hb = pairs.withColumn("bin", count_bin(F.col("n_b"), edges)).groupBy("bin").agg(F.count(F.lit(1)).alias("mb"))
     ab = abundance(a, b, edges)
-    out = t.join(ab.select("bin", "n_a", "n_b"), "bin").join(hb, "bin", "left")
+    out = ab.select("bin", "n_a", "n_b").join(t, "bin", "left").join(hb, "bin", "left")
     frac = lambda num, den: F.coalesce(F.col(num), F.lit(0)) / F.greatest(F.col(den), F.lit(1))
+    out = out.withColumn("matched", F.coalesce("matched", F.lit(0)))
+    # a bin without a pair keeps its fractions of 0 and has no percentiles
+    out = out.fillna(float("nan"), ["p16", "p50", "p84", "med_offset"])
     return out.select("bin", "matched", frac("matched", "n_a").alias("f_match_a"),
                       frac("mb", "n_b").alias("f_match_b"), "p16", "p50", "p84", "med_offset")

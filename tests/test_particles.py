@@ -27,13 +27,16 @@ def frame(spark, pos, vel=None, ids=False):
 
 
 def tie_positions(n):
-    """Fractions on and beside every rounding tie, in random cells."""
-    eps = 2.0**-20
-    f = [0.0, 0.5, 1 - eps, 0.5 + eps, 0.5 - eps, 0.25, eps]
-    rng = np.random.default_rng(7)
-    grid = np.array(list(itertools.product(f, repeat=3)))
-    cells = rng.integers(0, n, grid.shape)
-    return np.concatenate([(grid + cells) * BOX / n % BOX, rng.uniform(0, BOX, (400, 3))])
+    """Around every place, within a cell, where a stencil's rounding or a weight's leading corner changes.
+
+    Floor changes at cell edges, rint and the nearest corner at cell middles; just below and above each as well.
+    """
+    turns = np.array([0.0, 0.5])
+    near = np.concatenate([turns + e for e in (-(2.0**-16), 0.0, 2.0**-16)])
+    rng = np.random.default_rng(11)
+    inside = np.stack(np.meshgrid(near, near, near), axis=-1).reshape(-1, 3)
+    ties = (rng.integers(n, size=inside.shape) + inside) * (BOX / n)
+    return np.concatenate([np.mod(ties, BOX), BOX * rng.random((500, 3))])
 
 
 def reference_mesh(pos, n, scheme, unit=4096):
@@ -84,10 +87,20 @@ def test_float_deposit_shift(spark):
     assert np.allclose(a, b, atol=1e-12)
 
 
-def test_peak_check_can_fail(spark):
-    big = spark.createDataFrame([(0, 0, 0, 2**31)], "ix long, iy long, iz long, q long")
-    with pytest.raises(Exception, match="2\\^31"):
-        D.check_peak(big).collect()
+def test_cells_beyond_32_bits(spark):
+    """A crowded cell: its code units pass 2^31 and stay exact."""
+    one = frame(spark, [[0.25, 0.25, 0.25]] * 8)
+    single = dense(D.deposit_int(one, "cic", 16, BOX), 16)
+    crowd = one.crossJoin(spark.range(80_000)).drop("id")
+    many = dense(D.deposit_int(crowd, "cic", 16, BOX), 16)
+    assert many.sum() == 8 * 80_000 * 4096 > 2**31 and np.array_equal(many, single * 80_000)
+
+
+@pytest.mark.parametrize("read", [lambda df: ST.encode(df, GEO)[0], lambda df: L.with_keys(L.with_lattice(df, GEO.lattice), GEO)])
+def test_null_positions_raise(spark, read):
+    df = frame(spark, [[1.0, 2.0, 3.0]]).withColumn("y", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="null position"):
+        read(df).collect()
 
 
 def test_codec_round_trip(spark):
