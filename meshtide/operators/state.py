@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meshtide.config import CODE_MAX, Geometry
 from meshtide.functions import dither as D
 from meshtide.functions import lattice as L
-from meshtide.operators.rank import prefix_sums, ranked
+from meshtide.operators.rank import ranked
 from meshtide.session import durable
 
 CODED = ["brick", "bucket", "off_x", "off_y", "off_z", "w_x", "w_y", "w_z"]
@@ -125,20 +125,27 @@ def migration_stats(drifted: DataFrame, g: Geometry) -> DataFrame:
     ).withColumn("migrant_frac", F.col("migrants") / F.col("n"))
 
 
+def emulate_codes(rows: DataFrame, g: Geometry, what: str) -> DataFrame:
+    """Round float state through the codecs named in ``what``: x (positions), v (velocities)."""
+    names = rows.columns
+    if "x" in what:
+        rows = rows.withColumns({a: L.position_of(L.lattice_index(F.col(a), g.lattice), g.lattice) for a in L.AXES})
+    if "v" in what:
+        width = g.box / g.bricks
+        b = [F.expr(f"pmod(cast(floor({a} / {width!r}D) as bigint), {g.bricks}L)") for a in L.AXES]
+        rows = rows.withColumn("brick", L.flat(*b, g.bricks))
+        s = brick_scales(rows).select("brick", "vel_scale")
+        rows = rows.join(s, "brick").withColumns(
+            {f"v{a}": F.rint(F.col(f"v{a}") / F.col("vel_scale")) * F.col("vel_scale") for a in L.AXES})
+    return rows.select(*names)
+
+
 # ---- layout queries ----
 
 def occupancy(coded: DataFrame, by: str = "bucket") -> DataFrame:
     return coded.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def allocation(counts: DataFrame, slack: float = 0.1) -> DataFrame:
-    """Spare rows and exclusive-prefix start of every brick's run, from (brick, n)."""
-    spare = F.greatest(F.ceil(F.col("n") * F.lit(slack)).cast("long"), F.lit(1))
-    sized = counts.withColumn("spare", F.when(F.col("n") > 0, spare).otherwise(F.lit(0)))
-    sized = sized.withColumn("_room", F.col("n") + F.col("spare"))
-    return prefix_sums(sized, "brick", "_room", "brick_start").drop("_room")
-
-
 def bucket_starts(coded: DataFrame, g: Geometry) -> DataFrame:
     """(brick, bucket, n, start): where each bucket's run begins in its brick."""
     n = coded.groupBy("brick", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -153,19 +160,6 @@ def run_rank(coded: DataFrame) -> DataFrame:
     return ranked(coded, "brick", ["bucket", "off_x", "off_y", "off_z", "w_x", "w_y", "w_z"])
 
 
-def repack(coded: DataFrame, slack: float = 0.1) -> DataFrame:
-    """Every row's slot in the packed layout: its brick's start plus its rank."""
-    starts = allocation(occupancy(coded, "brick"), slack).select("brick", "brick_start")
-    rows = run_rank(coded).join(starts, "brick")
-    return rows.withColumn("slot", F.col("brick_start") + F.col("rank")).drop("brick_start", "rank")
-
-
-def capacity_spill(ranked_rows: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Rows beyond their brick's capacity (brick, capacity); bricks not listed have none."""
-    rows = ranked_rows.join(capacity, "brick", "left")
-    return rows.filter(F.col("rank") >= F.coalesce(F.col("capacity"), F.lit(0)))
-
-
 def check_state(coded: DataFrame, scales: DataFrame, g: Geometry, n_particles: int) -> None:
     """Structural checks; raise on the first violation."""
     got = coded.count()

@@ -8,7 +8,7 @@ from meshtide.functions import cosmology as C
 from meshtide.functions.dither import AXIS_MUL, KEY_MUL, MIX
 from meshtide.functions.schedule import momentum_factor
 from meshtide.plans.queries import (
-    A_OUT, BOX, COSMO, DITHER_KEY, DRIFT, EDGES, FLOOR, GEO, HALO_EDGES, KF, KICK, LINK, N, TRIANGLES,
+    A_OUT, BOX, COSMO, DITHER_KEY, DRIFT, EDGES, FLOOR, GEO, HALO_EDGES, KF, LINK, N, TRIANGLES,
 )
 from meshtide.sources.particles import particles_sql
 
@@ -116,13 +116,8 @@ SQL["bucket_occupancy"] = sql(ENC, "select bucket, count(*) as n from c group by
 SQL["brick_velocity_scale"] = sql(ENC, "select brick, vel_scale, n from sc")
 _RANK = f"r as (select {CODES}, row_number() over (partition by brick order by bucket, off_x, off_y, off_z, w_x, w_y, w_z) - 1 as rank from c)"
 SQL["run_rank"] = sql(ENC + [_RANK], "select * from r")
-_ALLOC = ("al as (select brick, n, greatest(ceil(n * 0.1)::bigint, 1) as spare from sc), "
-          "st as (select *, coalesce(sum(n + spare) over (order by brick rows between unbounded preceding and 1 preceding), 0)::bigint as brick_start from al)")
-SQL["alloc_prefix_sum"] = sql(ENC + [_ALLOC], "select * from st")
 SQL["bucket_starts"] = sql(ENC + ["b as (select brick, bucket, count(*) as n from c group by all)"],
                            "select *, coalesce(sum(n) over (partition by brick order by bucket rows between unbounded preceding and 1 preceding), 0)::bigint as start from b")
-SQL["capacity_spill"] = sql(ENC + [_RANK], "select r.* from r join sc using (brick) where rank >= floor(n * 9 / 10)")
-SQL["repack_slots"] = sql(ENC + [_RANK, _ALLOC], "select brick_start + rank as slot, brick, bucket from r join st using (brick)")
 _TB = ("bc as (select brick, n, brick // 64 as ux, brick // 8 % 8 as uy, brick % 8 as uz from sc), "
        "tl as (select t, t // 16 as tx, t // 4 % 4 as ty, t % 4 as tz from range(64) r(t)), "
        "tb as (select t as tile, brick, n, (ux // 2) = tx and (uy // 2) = ty and (uz // 2) = tz as owned from bc, tl where "
@@ -348,13 +343,6 @@ def mono_at(src: str = "p") -> list[str]:
 
 
 SQL["global_force"] = sql([P, CNT] + mono_at(), "select x, y, z, " + ", ".join(f"{rd(c, 7)} as {c}" for c in G3) + " from rb")
-SQL["kick_velocities"] = sql([P, CNT] + mono_at(), "select x, y, z, " + ", ".join(
-    f"{rd(f'{KICK[1]!r} * v{a} + {KICK[2]!r} * g{a}', 7)} as v{a}" for a in "xyz") + " from rb")
-SQL["float_step"] = sql(
-    [P, CNT, "h as (select " + ", ".join(f"{fmod(f'{a} + 0.125 * v{a}', BOX)} as {a}" for a in "xyz") + ", vx, vy, vz from p)"]
-    + mono_at("h") + ["kk as (select x, y, z, " + ", ".join(f"0.9 * v{a} + 0.35 * g{a} as v{a}" for a in "xyz") + " from rb)"],
-    "select " + ", ".join(f"{rd(fmod(f'{a} + 0.125 * v{a}', BOX), 6)} as {a}" for a in "xyz") + ", "
-    + ", ".join(f"{rd(f'v{a}', 6)} as v{a}" for a in "xyz") + " from kk")
 
 _pairs = [a + b for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))]
 _SRC2 = TSC + fft("d", ["d"], "f") + [waves("f", "fw"), "k6 as (select kx, ky, kz, " + ", ".join(
@@ -607,16 +595,17 @@ _MATCH = _CATS + [
     "mt as (select * from (select *, row_number() over (partition by a_id order by d, b_id) as ra, row_number() over (partition by b_id order by d, a_id) as rb from pr)"
     f" where ra = 1 and rb = 1 and d < 4.0 * {_R200('greatest(n_a, n_b)')})"]
 SQL["halo_match"] = recursive(_MATCH, f"select a_id, b_id, n_a, n_b, {rd('d', 7)} as d from mt")
-_bins = "bn as (select * from (values " + ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(zip(HALO_EDGES[:-1], HALO_EDGES[1:]))) + ") b(bin, lo, hi))"
+_bins = "bn as (select * from (values " + ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(zip(HALO_EDGES, (*HALO_EDGES[1:], 2**62)))) + ") b(bin, lo, hi))"
 _AB = [_bins, "ab as (select bin, lo, hi, (select count(*) from h_a where n >= lo and n < hi) as n_a, (select count(*) from h_b where n >= lo and n < hi) as n_b from bn)"]
 SQL["halo_abundance"] = recursive(_CATS + _AB, "select bin::int as bin, lo::bigint as lo, n_a, n_b, case when n_b > 0 then " + rd("n_a / n_b", 9)
                                   + " else cast('nan' as double) end as ratio, case when n_b > 0 then "
                                   + rd("n_a / n_b * sqrt(1.0 / greatest(n_a, 1) + 1.0 / greatest(n_b, 1))", 9) + " else cast('nan' as double) end as sigma from ab")
+_pct = lambda x, q: f"coalesce({rd(f'quantile_cont({x}, {q})', 6)}, cast('nan' as double))"
 SQL["halo_match_table"] = recursive(
-    _MATCH + _AB, "select bin::int as bin, count(*) as matched, " + rd("count(*) / greatest(any_value(ab.n_a), 1)", 6) + " as f_match_a, "
+    _MATCH + _AB, "select bin::int as bin, count(mt.a_id) as matched, " + rd("count(mt.a_id) / greatest(any_value(ab.n_a), 1)", 6) + " as f_match_a, "
     + rd("(select count(*) from mt m2 where m2.n_b >= any_value(lo) and m2.n_b < any_value(hi)) / greatest(any_value(ab.n_b), 1)", 6) + " as f_match_b, "
-    + ", ".join(f"{rd(f'quantile_cont(ln(mt.n_b / mt.n_a), {q})', 6)} as p{int(q * 100)}" for q in (0.16, 0.5, 0.84)) + ", "
-    + rd(f"quantile_cont(d / {_R200('mt.n_a')}, 0.5)", 6) + " as med_offset from mt join ab on mt.n_a >= lo and mt.n_a < hi group by bin")
+    + ", ".join(f"{_pct('ln(mt.n_b / mt.n_a)', q)} as p{int(q * 100)}" for q in (0.16, 0.5, 0.84)) + ", "
+    + _pct(f"d / {_R200('mt.n_a')}", 0.5) + " as med_offset from ab left join mt on mt.n_a >= lo and mt.n_a < hi group by bin")
 SQL["halo_bias"] = recursive(
     [P] + fof("p", "a") + ["hp as (select cx as x, cy as y, cz as z from h_a)"] + float_mesh("p", "cic", N, {"m": "1.0"})
     + [s.replace("st_f as", "st_h as").replace("from st_f,", "from st_h,") for s in float_mesh("hp", "cic", N, {"h": "1.0"}, "", "fh")[1:]]

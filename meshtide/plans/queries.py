@@ -25,7 +25,6 @@ from meshtide.operators import power as P
 from meshtide.operators import rank as R
 from meshtide.operators import spectral as S
 from meshtide.operators import state as ST
-from meshtide.plans import evolve as EV
 from meshtide.plans import initial as IC
 from meshtide.sources.particles import particles, read_table
 
@@ -270,29 +269,11 @@ def run_rank(spark, sf):
     return ST.run_rank(coded_lines(spark, sf)[0])
 
 
-@query
-def alloc_prefix_sum(spark, sf):
-    return ST.allocation(ST.occupancy(coded_lines(spark, sf)[0], "brick")).select("brick", "n", "spare", "brick_start")
-
-
 @query
 def bucket_starts(spark, sf):
     return ST.bucket_starts(coded_lines(spark, sf)[0], GEO)
 
 
-@query
-def capacity_spill(spark, sf):
-    """Rows past nine tenths of their brick's run."""
-    rows, scales = coded_lines(spark, sf)
-    cap = scales.select("brick", F.floor(F.col("n") * 9 / 10).cast("long").alias("capacity"))
-    return ST.capacity_spill(ST.run_rank(rows), cap).select(*ST.CODED, "rank")
-
-
-@query
-def repack_slots(spark, sf):
-    return ST.repack(coded_lines(spark, sf)[0]).select("slot", "brick", "bucket")
-
-
 @query
 def tile_membership(spark, sf):
     return ST.tile_bricks(ST.occupancy(coded_lines(spark, sf)[0], "brick"), GEO)
@@ -385,7 +366,7 @@ def tsc_paint_float(spark, sf):
 
 @query
 def paint_mass_check(spark, sf):
-    m = D.check_peak(mesh(spark, sf))
+    m = mesh(spark, sf)
     return m.agg(F.sum("q").alias("mass"), F.max("q").alias("peak"), F.count(F.lit(1)).alias("cells"))
 
 
@@ -802,30 +783,11 @@ def brick_reach(spark, sf):
     return ST.brick_reach(coded_lines(spark, sf)[1], GEO, DRIFT)
 
 
-KICK = (0.0, 0.9, 0.35)
-
-
-@query
-def kick_velocities(spark, sf):
-    """v <- alpha v + b g with the single-mesh force."""
-    g = FO.force_global(salted_lines(spark, sf), N, BOX, total(spark, sf), "mono", scheme="cic")
-    return rounded(EV.kick(g, KICK[1], KICK[2]).select(*AXES, "vx", "vy", "vz"), 7, "vx", "vy", "vz")
-
-
-@query
-def float_step(spark, sf):
-    """One float drift-kick-drift step with the single-mesh force."""
-    n = total(spark, sf)
-    force = lambda df: FO.force_global(df, N, BOX, n, "mono", scheme="cic")
-    out = EV.float_step(salted_lines(spark, sf), (0.125, 0.9, 0.35), force, BOX)
-    return rounded(out.select(*AXES, "vx", "vy", "vz"), 6, *AXES, "vx", "vy", "vz")
-
-
 @query
 def codec_emulation(spark, sf):
     """Float state rounded through the position and per-brick velocity codecs."""
     p = raw_lines(spark, sf).withColumns({a: F.pmod(F.col(a), F.lit(BOX)) for a in AXES}).drop("l_linenumber")
-    return rounded(EV.emulate_codes(p, GEO, "xv"), 9, "vx", "vy", "vz")
+    return rounded(ST.emulate_codes(p, GEO, "xv"), 9, "vx", "vy", "vz")
 
 
 @query
@@ -838,14 +800,6 @@ def quantisation_statistics(spark, sf):
                                       rd(F.avg((F.col("a") < 0.5).cast("int")), 9).alias("below_half"))
 
 
-@query
-def engine_step(spark, sf):
-    """A full coded step: two-level kick, dithered drift, migration."""
-    rows, scales = coded_lines(spark, sf)
-    new, _ = EV.step(rows, scales, GEO, total(spark, sf), (0.05, 0.95, 0.2), 0.1, 1)
-    return new
-
-
 # ---- halos ----
 
 LINK, FLOOR = 0.4, 3
@@ -877,7 +831,7 @@ def halo_match(spark, sf):
     return rounded(m, 7, "d")
 
 
-HALO_EDGES = (3, 4, 6, 10, 10**9)
+HALO_EDGES = (3, 4, 6, 10)
 
 
 @query

@@ -10,8 +10,9 @@ from meshtide.functions.cosmology import peculiar_velocity_factor
 from meshtide.operators import halos as H
 from meshtide.operators import state as ST
 from meshtide.operators.components import components
-from meshtide.plans import evolve as EV
 from meshtide.plans import initial as IC
+from meshtide import session
+from meshtide.sources import checkpoints as CP
 from meshtide.sources import exports, store
 from meshtide.streaming.deposit import running_deposit
 from tests.test_particles import BOX, frame, reference_mesh
@@ -125,26 +126,67 @@ def test_export(spark, tmp_path):
     off = exports.part_offsets(df).toPandas().sort_values("number")
     assert off.row0.iloc[0] == 0 and off.n.sum() == 400
     with pytest.raises(ValueError, match="half a step"):
-        exports.write_particles(rows, scales, GEO, where, provenance=dict(kind="checkpoint", step=1, n_steps=3))
-    assert exports.resolve_epoch({"a": 0.3, "cosmology": {}})[0] == 0.3
-    assert exports.resolve_epoch({"a": 0.3}, a=0.4)[0] == 0.4
-    assert exports.resolve_epoch({})[0] is None
-    with pytest.raises(ValueError):
-        exports.resolve_epoch({}, overrides={"h": 0.7})
+        exports.write_particles(rows, scales, GEO, where, provenance=dict(kind="checkpoint", aligned=False))
+
 
+def test_export_epoch():
+    epoch = exports.resolve_epoch
+    assert epoch({"a": 0.3, "cosmology": {}}) == exports.Epoch(0.3, Cosmology(), "recorded")
+    assert epoch({"a": 0.3}, a=0.4, h=0.7) == exports.Epoch(0.4, Cosmology(h=0.7), "asked")
+    assert epoch({}) == epoch({"a": 0.3}, native=True) == exports.Epoch()
+    for wrong in (dict(h=0.7), dict(native=True, a=0.2), dict(native=True, h=0.7)):
+        with pytest.raises(ValueError):
+            epoch({}, **wrong)
 
-def test_resume_is_the_same_run(spark, tmp_path):
+
+def test_checkpoint_generations(spark, tmp_path):
     rows, scales = coded(spark)
-    co = np.array([[0.05, 0.9, 0.1], [0.06, 0.92, 0.12]])
-    straight, _ = EV.run(rows, scales, GEO, 400, co)
+    plan = CP.Schedule(((0.05, 0.9, 0.1), (0.06, 0.92, 0.12), (0.07, 0.93, 0.1)), frozenset({2}))
     path = str(tmp_path / "ck")
-    EV.run(rows, scales, GEO, 400, co, checkpoint_path=path, stop_at=1)
-    c, s, prov = EV.load_checkpoint(spark, path, GEO, co)
-    assert prov["step"] == 1 and not EV.synchronized(prov)
-    again, _ = EV.run(c, s, GEO, 400, co, resume=prov)
-    assert multiset(again).equals(multiset(straight))
-    with pytest.raises(ValueError, match="another configuration"):
-        EV.load_checkpoint(spark, path, GEO, co * 2)
+    assert CP.newest(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        CP.load(spark, path, GEO, plan)
+    made = [CP.write(rows, scales, GEO, path, step, plan, {"a": 0.1 * step}) for step in (1, 2, 3)]
+    assert [c.generation for c in made] == [0, 1, 0] and [c.aligned for c in made] == [False, True, True]
+    c, _, last = CP.load(spark, path, GEO, plan)
+    assert last == made[2] and multiset(c).equals(multiset(rows))
+    store.delete(spark, f"{made[2].path}/{store.MANIFEST}")  # a write that did not end
+    assert CP.newest(spark, path) == made[1]
+    for other in (CP.Schedule(plan.coefficients), CP.Schedule(plan.coefficients[:2], plan.snapshots)):
+        with pytest.raises(ValueError, match="another configuration"):
+            CP.load(spark, path, GEO, other)
+
+
+def test_tables_are_freed_after_an_error(spark):
+    with pytest.raises(RuntimeError), session.tables_freed():
+        made = session.durable(spark.range(5))
+        path = session._TABLES[id(made)][1]
+        raise RuntimeError
+    assert not os.path.exists(path)
+
+
+def test_match_table_keeps_bins_without_a_pair(spark):
+    lat, cols = GEO.lattice, "halo_id long, n long, cx double, cy double, cz double"
+    a = spark.createDataFrame([(1, 30, 1.0, 1.0, 1.0), (2, 60, 8.0, 8.0, 8.0), (3, 3 * 10**9, 4.0, 1.0, 6.0)], cols)
+    b = spark.createDataFrame([(1, 25, 1.1, 1.0, 1.0), (2, 70, 3.0, 9.0, 3.0), (3, 3 * 10**9, 4.0, 1.0, 6.0)], cols)
+    rows = {r.bin: r for r in H.match_table(H.match(a, b, lat), a, b, lat).collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 4]
+    assert rows[0].matched == 1 and rows[0].f_match_a == 1 and rows[0].p50 == pytest.approx(np.log(25 / 30))
+    assert rows[1].matched == 0 and rows[1].f_match_a == 0 and np.isnan(rows[1].p50)
+    assert rows[4].matched == 1 and {r.bin: r.n_a for r in H.abundance(a, b).collect()}[4] == 1
+
+
+def test_nearest_in_a_crowded_spot(spark):
+    """Many points within one coarse leaf: finer leaves, the same answer."""
+    r = np.random.default_rng(8)
+    spot = np.concatenate([1.0 + 1e-4 * r.random((600, 3)), r.random((20, 3)) * BOX])
+    probe = np.concatenate([1.0 + 1e-4 * r.random((40, 3)), r.random((10, 3)) * BOX])
+    table = lambda x: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    assert H.leaf_bits(table(spot), BOX) > H.LEAF_BITS[0]
+    d = probe[:, None] - spot
+    d2 = ((d - BOX * np.rint(d / BOX)) ** 2).sum(axis=2)
+    found = {q.a_id: q for q in H.nearest(table(probe), table(spot), BOX).collect()}
+    assert [found[i].b_id for i in range(50)] == d2.argmin(axis=1).tolist()
 
 
 def test_generated_particles(spark):
@@ -176,5 +218,8 @@ def test_query_against_reference_sql(spark, name):
     import __spark_entry__ as entry
     from tests.compare import connect, difference
     sf = "/root/testdata/sf0.001"
-    got = entry.queries()[name](spark, sf).toPandas()
+    held = set(session._TABLES)
+    with session.tables_freed():
+        got = entry.queries()[name](spark, sf).toPandas()
+    assert set(session._TABLES) == held
     assert difference(got, connect(sf).execute(entry.oracle_sql()[name]).df()) is None
