@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshtide.config import Lattice
+from meshtide.functions import kspace as K
 from meshtide.functions import lattice as L
+from meshtide.operators import deposit as D
+from meshtide.operators import spectral as S
 from meshtide.operators.components import components
 from meshtide.session import durable
 
@@ -222,3 +225,48 @@ def match_table(pairs: DataFrame, a: DataFrame, b: DataFrame, lat: Lattice, edge
     out = out.fillna(float("nan"), ["p16", "p50", "p84", "med_offset"])
     return out.select("bin", "matched", frac("matched", "n_a").alias("f_match_a"),
                       frac("mb", "n_b").alias("f_match_b"), "p16", "p50", "p84", "med_offset")
+
+
+def bias_table(matter: tuple[DataFrame, DataFrame], halos: tuple[DataFrame, DataFrame], n: int, box: float,
+               shells: list[float], edges=COUNT_EDGES, min_halos: int = 50) -> DataFrame:
+    """Spectra of two runs' halos against their matter, per count bin and shell [k_i, k_i+1).
+
+    (bin, n_a, n_b, shell, k_mean, n_modes, b_a, b_b, b_ratio, r_hh, pmm_ratio, r_mm); a bin with fewer than
+    ``min_halos`` halos in either run is left out.  All are ratios of spectra of contrasts rho / mean - 1: off the
+    mean mode a contrast is its field over the field's mean, so raw sums are transformed and means divide at the end.
+    """
+    upper = [*edges[1:], None]
+    weight = [f"case when n >= {lo} {f'and n < {hi}' if hi else ''} then 1.0D else 0.0D end" for lo, hi in zip(edges, upper)]
+    mesh, names = None, []
+    for side, particles, cat in zip("ab", matter, halos):
+        at = cat.select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "n")
+        parts = {f"m_{side}": D.deposit_float(particles, "cic", n, box, {f"m_{side}": "1.0D"}),
+                 f"h_{side}": D.deposit_float(at, "cic", n, box, {f"h{i}_{side}": w for i, w in enumerate(weight)})}
+        for part in parts.values():
+            names += [c for c in part.columns if c not in ("ix", "iy", "iz")]
+            mesh = part if mesh is None else mesh.join(part, ["ix", "iy", "iz"], "full")
+    modes = S.modes(S.spectrum(mesh.fillna(0.0, names), names, n), names)
+    k = F.sqrt(K.n2_column(n).cast("double")) * F.lit(2.0 * math.pi / box)
+    shell = F.lit(None).cast("int")
+    for i, (lo, hi) in enumerate(zip(shells, shells[1:])):
+        shell = F.when((k >= lo) & (k < hi), i).otherwise(shell)
+    w = K.hermitian_weight(n)
+    pairs = {"mm_a": ("m_a", "m_a"), "mm_b": ("m_b", "m_b"), "mm_ab": ("m_a", "m_b")}
+    for i in range(len(edges)):
+        h = [f"h{i}_a", f"h{i}_b"]
+        pairs |= {f"hm_a{i}": (h[0], "m_a"), f"hm_b{i}": (h[1], "m_b"), f"hh_a{i}": (h[0], h[0]), f"hh_b{i}": (h[1], h[1]), f"hh_ab{i}": tuple(h)}
+    product = lambda x, y: F.expr(f"{x}_re * {y}_re + {x}_im * {y}_im")
+    rows = modes.withColumn("shell", shell).filter("shell is not null")
+    sums = rows.groupBy("shell").agg(F.sum(w).alias("n_modes"), F.sum(k * w).alias("kw"), *(F.sum(w * product(*xy)).alias(c) for c, xy in pairs.items()))
+    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("bin"), *(F.col(f"{c}{i}").alias(c) for c in ("hm_a", "hm_b", "hh_a", "hh_b", "hh_ab")))
+                                 for i in range(len(edges))))).alias("s")
+    per = sums.select("shell", "n_modes", "kw", "mm_a", "mm_b", "mm_ab", spread).select("*", "s.*").drop("s")
+    counts = abundance(*halos, edges).filter(F.least("n_a", "n_b") >= min_halos).select("bin", "n_a", "n_b")
+    total = [m.agg(F.count(F.lit(1)).cast("double").alias(f"t_{side}")) for side, m in zip("ab", matter)]
+    per = per.join(counts, "bin").join(F.broadcast(total[0])).join(F.broadcast(total[1]))  # totals are one row each
+    b_a, b_b = (F.col(f"hm_{x}") / F.col(f"mm_{x}") * F.col(f"t_{x}") / F.col(f"n_{x}") for x in "ab")
+    return per.select(
+        "bin", "n_a", "n_b", "shell", (F.col("kw") / F.col("n_modes")).alias("k_mean"), "n_modes", b_a.alias("b_a"), b_b.alias("b_b"),
+        (b_a / b_b).alias("b_ratio"), (F.col("hh_ab") / F.sqrt(F.col("hh_a") * F.col("hh_b"))).alias("r_hh"),
+        (F.col("mm_a") / F.col("mm_b") * F.pow(F.col("t_b") / F.col("t_a"), F.lit(2.0))).alias("pmm_ratio"),
+        (F.col("mm_ab") / F.sqrt(F.col("mm_a") * F.col("mm_b"))).alias("r_mm"))

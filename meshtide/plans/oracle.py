@@ -606,10 +606,35 @@ SQL["halo_match_table"] = recursive(
     + rd("(select count(*) from mt m2 where m2.n_b >= any_value(lo) and m2.n_b < any_value(hi)) / greatest(any_value(ab.n_b), 1)", 6) + " as f_match_b, "
     + ", ".join(f"{_pct('ln(mt.n_b / mt.n_a)', q)} as p{int(q * 100)}" for q in (0.16, 0.5, 0.84)) + ", "
     + _pct(f"d / {_R200('mt.n_a')}", 0.5) + " as med_offset from ab left join mt on mt.n_a >= lo and mt.n_a < hi group by bin")
+
+
+def _field(src: str, tag: str, fields: dict) -> list[str]:
+    """One more float mesh beside others: own stencil rows, shared offsets."""
+    return [c.replace("st_f", f"st_{tag}") for c in float_mesh(src, "cic", N, fields, "", tag)[1:]]
+
+
+_UP = [*zip(HALO_EDGES, (*HALO_EDGES[1:], 2**62))]
+_HF = {side: {f"h{i}_{side}": f"(case when n >= {lo} and n < {hi} then 1.0 else 0.0 end)" for i, (lo, hi) in enumerate(_UP)} for side in "ab"}
+_BF = ["m_a", "m_b", *_HF["a"], *_HF["b"]]
+_cross = lambda x, y: f"sum(w * ({x}_re * {y}_re + {x}_im * {y}_im))"
+_of_bin = lambda i: (f"select {i} as bin, shell, n_modes, k_mean, mm_a, mm_b, mm_ab, hm_a{i} as hm_a, hm_b{i} as hm_b, hh_a{i} as hh_a, hh_b{i} as hh_b,"
+                     f" hh_ab{i} as hh_ab from sh")
 SQL["halo_bias"] = recursive(
-    [P] + fof("p", "a") + ["hp as (select cx as x, cy as y, cz as z from h_a)"] + float_mesh("p", "cic", N, {"m": "1.0"})
-    + [s.replace("st_f as", "st_h as").replace("from st_f,", "from st_h,") for s in float_mesh("hp", "cic", N, {"h": "1.0"}, "", "fh")[1:]]
-    + ["d as (select ix, iy, iz, coalesce(m, 0) as m, coalesce(h, 0) as h from fm full join fh using (ix, iy, iz))"]
-    + fft("d", ["m", "h"], "f") + [waves("f", "fw"),
-    f"b as (select {_BIN} as bin, {_HW} as w, m_re*h_re + m_im*h_im as hm, m_re*m_re + m_im*m_im as mm from fw)"],
-    f"select bin, {rd('sum(w * hm) / sum(w * mm)', 7)} as hm_over_mm, sum(w) as n_modes from b where bin between 0 and {N // 2 - 1} group by bin")
+    _CATS + _AB + [offsets("cic")] + _field("p", "ma", {"m_a": "1.0"}) + _field("pb", "mb", {"m_b": "1.0"})
+    + [f"hp_{t} as (select cx as x, cy as y, cz as z, n from h_{t})" for t in "ab"] + _field("hp_a", "ha", _HF["a"]) + _field("hp_b", "hb", _HF["b"])
+    + [f"d as (select ix, iy, iz, {', '.join(f'coalesce({f}, 0) as {f}' for f in _BF)} from ma full join mb using (ix, iy, iz)"
+       " full join ha using (ix, iy, iz) full join hb using (ix, iy, iz))"]
+    + fft("d", _BF, "f") + [waves("f", "fw"),
+    f"b as (select *, {_HW} as w, sqrt(n2) as kk, case when sqrt(n2) >= 1 and sqrt(n2) < 3 then 0 when sqrt(n2) >= 3 and sqrt(n2) < 5 then 1"
+    " when sqrt(n2) >= 5 and sqrt(n2) < 7 then 2 end as shell from fw)",
+    f"sh as (select shell, sum(w) as n_modes, sum(kk * w) / sum(w) * {KF!r} as k_mean, {_cross('m_a', 'm_a')} as mm_a, {_cross('m_b', 'm_b')} as mm_b,"
+    f" {_cross('m_a', 'm_b')} as mm_ab, " + ", ".join(
+        f"{_cross(f'h{i}_a', 'm_a')} as hm_a{i}, {_cross(f'h{i}_b', 'm_b')} as hm_b{i}, {_cross(f'h{i}_a', f'h{i}_a')} as hh_a{i},"
+        f" {_cross(f'h{i}_b', f'h{i}_b')} as hh_b{i}, {_cross(f'h{i}_a', f'h{i}_b')} as hh_ab{i}" for i in range(len(_UP)))
+    + " from b where shell is not null group by shell)",
+    "un as (" + " union all ".join(_of_bin(i) for i in range(len(_UP))) + ")",
+    "tt as (select (select count(*) from p)::double as t_a, (select count(*) from pb)::double as t_b)",
+    "bb as (select un.*, n_a, n_b, hm_a / mm_a * t_a / n_a as ba, hm_b / mm_b * t_b / n_b as bb, t_a, t_b from un join ab using (bin), tt where least(n_a, n_b) >= 5)"],
+    f"select bin::int as bin, n_a, n_b, shell::int as shell, {rd('k_mean', 6)} as k_mean, n_modes, {rd('ba', 6)} as b_a, {rd('bb', 6)} as b_b,"
+    f" {rd('ba / bb', 6)} as b_ratio, {rd('hh_ab / sqrt(hh_a * hh_b)', 6)} as r_hh, {rd('mm_a / mm_b * pow(t_b / t_a, 2.0)', 6)} as pmm_ratio,"
+    f" {rd('mm_ab / sqrt(mm_a * mm_b)', 6)} as r_mm from bb")

@@ -809,10 +809,13 @@ def catalog(spark, sf, table="lineitem"):
     return H.fof_catalog(particles(spark, sf, table), GEO.lattice, LINK, FLOOR)
 
 
-def drifted_catalog(spark, sf):
+def drifted_positions(spark, sf):
     d = ST.drift(decoded_lines(spark, sf), GEO, 0.02)
-    moved = d.select(*(L.position_of(F.col(f"j{a}"), GEO.lattice).alias(a) for a in AXES))
-    return H.fof_catalog(moved, GEO.lattice, LINK, FLOOR)
+    return d.select(*(L.position_of(F.col(f"j{a}"), GEO.lattice).alias(a) for a in AXES))
+
+
+def drifted_catalog(spark, sf):
+    return H.fof_catalog(drifted_positions(spark, sf), GEO.lattice, LINK, FLOOR)
 
 
 @query
@@ -847,17 +850,12 @@ def halo_match_table(spark, sf):
     return rounded(t, 6, "f_match_a", "f_match_b", "p16", "p50", "p84", "med_offset")
 
 
+BIAS_SHELLS = [i * 2.0 * math.pi / BOX for i in (1, 3, 5, 7)]
+
+
 @query
 def halo_bias(spark, sf):
-    """Halo-matter over matter-matter power, per shell."""
-    h = catalog(spark, sf).select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    hm = D.deposit_float(h, "cic", N, BOX, {"h": "1.0D"})
-    mm = D.deposit_float(lines(spark, sf), "cic", N, BOX, {"m": "1.0D"})
-    j = mm.join(hm, ["ix", "iy", "iz"], "full").fillna(0.0, ["m", "h"])
-    md = S.modes(S.spectrum(j, ["m", "h"], N), ["m", "h"]).withColumn("w", K.hermitian_weight(N))
-    rows = md.select(P.shell_bin(N).alias("bin"), "w", F.expr(P.product_sql("h", "m")).alias("hm"),
-                     F.expr(P.product_sql("m", "m")).alias("mm"))
-    rows = rows.filter((F.col("bin") >= 0) & (F.col("bin") < P.shell_count(N)))
-    s = rows.groupBy("bin").agg(F.sum(F.col("w") * F.col("hm")).alias("hm"),
-                                F.sum(F.col("w") * F.col("mm")).alias("mm"), F.sum("w").alias("n_modes"))
-    return s.select("bin", rd(F.col("hm") / F.col("mm"), 7).alias("hm_over_mm"), "n_modes")
+    """Halo bias, its ratio, and cross-correlations of the two catalogues, per count bin and shell."""
+    t = H.bias_table((lines(spark, sf), drifted_positions(spark, sf)), (catalog(spark, sf), drifted_catalog(spark, sf)),
+                     N, BOX, BIAS_SHELLS, HALO_EDGES, 5)
+    return rounded(t, 6, "k_mean", "b_a", "b_b", "b_ratio", "r_hh", "pmm_ratio", "r_mm")
