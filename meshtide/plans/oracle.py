@@ -496,14 +496,44 @@ SQL["sub_moments"] = sql(smooth([4.0]) + [moments("r0", "10.0", "mo")], f"select
 _JK = "tt as (select count(*) as n, sum(m2) as s2, sum(m3) as s3 from mo), lo as (select ((s3 - m3) / (n - 1)) / pow((s2 - m2) / (n - 1), 2) as v from mo, tt)"
 SQL["skewness_jackknife"] = sql(smooth([4.0]) + [moments("r0", "1.0", "mo"), _JK],
                                 f"select n as n_sub, {rd('(s3 / n) / pow(s2 / n, 2)', 5)} as s3, (select {rd('sqrt((count(*) - 1) * var_pop(v))', 5)} from lo) as s3_err from tt")
-SQL["paired_skewness"] = sql(
-    smooth([4.0, 6.0]) + [moments("r0", "1.0", "ma"), moments("r1", "1.0", "mb"), "j as (select a.m2 as a2, a.m3 as a3, b.m2 as b2, b.m3 as b3 from ma a join mb b using (sub))",
-    "tt as (select count(*) as n, sum(a2) as t1, sum(a3) as t2, sum(b2) as t3, sum(b3) as t4 from j)",
-    "lo as (select ((t2 - a3) / (n-1)) / pow((t1 - a2) / (n-1), 2) - ((t4 - b3) / (n-1)) / pow((t3 - b2) / (n-1), 2) as v from j, tt)"],
-    f"select {rd('(t2/n) / pow(t1/n, 2) - (t4/n) / pow(t3/n, 2)', 4)} as ds3, (select {rd('sqrt((count(*) - 1) * var_pop(v))', 4)} from lo) as ds3_err from tt")
+_R3 = 4.0
+_sub = "((ix // 4) * 4 + iy // 4) * 4 + iz // 4 as sub"
+
+
+def _smooth_of(src: str, val: str, out: str, cic: bool = False) -> list[str]:
+    """Top-hat smoothing of a cell field."""
+    w = f" / ({win(2)})" if cic else ""
+    part = lambda p: f"case when n2 = 0 then 0.0 else {val}_{p} * {_top(_R3)}{w} end as {out}_{p}"
+    return fft(src, [val], f"{out}_f") + [waves(f"{out}_f", f"{out}_w"), f"{out}_k as (select kx, ky, kz, {part('re')}, {part('im')} from {out}_w)"] \
+        + ifft(f"{out}_k", [out], f"{out}_c")
+
+
+_DIV2 = fft("h", G3, "hf") + [waves("hf", "hw"), "dk as (select kx, ky, kz, -(" + " + ".join(f"w{a} * g{a}_im" for a in "xyz") + ") as v_re, "
+                              + " + ".join(f"w{a} * g{a}_re" for a in "xyz") + " as v_im from hw)"] + ifft("dk", ["v"], "dv")
+_TREE = _DIV2 + _smooth_of("d", "d", "u") + _smooth_of("dv", "v", "s") \
+    + [f"mt as (select {_sub}, avg(pow({_da!r} * u, 2)) as m2, 3.0 * avg(pow({_da!r} * u, 2) * {_db!r} * s) as m3 from u_c join s_c using (ix, iy, iz) group by all)"]
 SQL["tree_skewness"] = sql(
-    smooth([4.0, 6.0]) + ["mo as (select ((ix // 4) * 4 + iy // 4) * 4 + iz // 4 as sub, avg(r0*r0) as m2, 3.0 * avg(r0*r0*r1) as m3 from sm group by all)", _JK],
+    _PSI2 + _TREE + [_JK.replace("from mo,", "from mt,").replace("from mo)", "from mt)")],
     f"select n as n_sub, {rd('(s3 / n) / pow(s2 / n, 2)', 4)} as ds3_tree, (select {rd('sqrt((count(*) - 1) * var_pop(v))', 4)} from lo) as ds3_tree_err from tt")
+_moved = lambda second: ", ".join(fmod(f"i{a} * 2.0 + ({_da!r} * g.g{a} - ({second!r}) * h.g{a})", BOX) + f" as {a}" for a in "xyz")
+
+
+def _painted(tag: str, second: float) -> list[str]:
+    st = [c.replace("st_f", f"st_{tag}") for c in float_mesh(f"p_{tag}", "cic", N, {"w": "1.0"}, "", f"c_{tag}")[1:]]
+    return [f"p_{tag} as (select {_moved(second)} from g join h using (ix, iy, iz))"] + st + _smooth_of(f"c_{tag}", "w", f"z{tag}", True) \
+        + [f"m_{tag} as (select {_sub}, avg(pow(z{tag}, 2)) as m2, avg(pow(z{tag}, 3)) as m3 from z{tag}_c group by all)"]
+
+
+SQL["paired_skewness"] = sql(
+    _P12 + [offsets("cic")] + _painted("b", _db) + _painted("a", 0.0) + _TREE
+    + ["j as (select " + ", ".join(f"{t}.m{i} as {o}{i}" for t, o in (("m_b", "p"), ("m_a", "q"), ("mt", "t")) for i in (2, 3))
+       + " from m_b join m_a using (sub) join mt using (sub))",
+       "al as (select count(*) as n, " + ", ".join(f"sum({o}{i}) as s{o}{i}" for o in "pqt" for i in (2, 3)) + " from j)",
+       "lo as (select " + ", ".join(f"((s{o}3 - {o}3) / (n - 1)) / pow((s{o}2 - {o}2) / (n - 1), 2) as {o}" for o in "pqt") + " from j, al)",
+       "er as (select " + ", ".join(f"sqrt((count(*) - 1) * var_pop({e})) as {k}" for k, e in (("e1", "p - q"), ("e2", "t"), ("e3", "p - q - t"))) + " from lo)",
+       "wh as (select " + ", ".join(f"(s{o}3 / n) / pow(s{o}2 / n, 2) as {o}" for o in "pqt") + " from al)"],
+    f"select {rd('p - q', 4)} as ds3, {rd('e1', 4)} as ds3_err, {rd('t', 4)} as tree, {rd('e2', 4)} as tree_err, {rd('p - q - t', 4)} as remainder,"
+    f" {rd('e3', 4)} as remainder_err from wh, er")
 
 # ---- evolution ----
 M64 = 2**64

@@ -718,18 +718,36 @@ def skewness_jackknife(spark, sf):
     return rounded(HI.skewness(HI.sub_moments(d, "r0", N, 4)), 5, "s3", "s3_err")
 
 
-@query
-def paired_skewness(spark, sf):
-    """Skewness difference of two smoothing radii with its paired jackknife error."""
-    d = HI.smoothed(counts_mesh(spark, sf), "d", N, BOX, [4.0, 6.0])
-    a, b = HI.sub_moments(d, "r0", N, 4), HI.sub_moments(d, "r1", N, 4)
-    return rounded(HI.paired_skewness(a, b), 4, "ds3", "ds3_err")
+S3_RADIUS, S3_A = 4.0, 0.1
+
+
+def tree_cells(spark, sf):
+    """D1 delta and D2 div psi2, smoothed at one radius."""
+    d = counts_mesh(spark, sf)
+    psi2 = IC.zeldovich(IC.second_order_source(d, "d", N, BOX), "delta2", N, BOX)
+    first = HI.smoothed(d, "d", N, BOX, [S3_RADIUS])
+    second = HI.smoothed(IC.divergence(psi2, FO.FORCE, N, BOX), "div", N, BOX, [S3_RADIUS])
+    both = first.join(second.withColumnRenamed("r0", "s"), ["ix", "iy", "iz"])
+    return both.select("ix", "iy", "iz", (F.lit(C.growth(S3_A, COSMO)) * F.col("r0")).alias("d"), (F.lit(C.growth2(S3_A, COSMO)) * F.col("s")).alias("s"))
 
 
 @query
 def tree_skewness(spark, sf):
-    d = HI.smoothed(counts_mesh(spark, sf), "d", N, BOX, [4.0, 6.0])
-    return rounded(HI.tree_skewness(d, "r0", "r1", N, 4), 4, "ds3_tree", "ds3_tree_err")
+    """Tree-level skewness of the second-order displacement term."""
+    return rounded(HI.tree_skewness(tree_cells(spark, sf), "d", "s", N, 4), 4, "ds3_tree", "ds3_tree_err")
+
+
+@query
+def paired_skewness(spark, sf):
+    """Skewness of second- less first-order displaced particles against its tree term, paired by sub-cube."""
+    def painted(order):
+        p = IC.lpt_particles(counts_mesh(spark, sf), "d", N, BOX, S3_A, COSMO, order)
+        cells = HI.smoothed(D.deposit_float(p, "cic", N, BOX, {"w": "1.0D"}), "w", N, BOX, [S3_RADIUS], cic=True)
+        return HI.sub_moments(cells, "r0", N, 4)
+
+    tree = HI.tree_moments(tree_cells(spark, sf), "d", "s", N, 4)
+    t = HI.paired_skewness(painted(2), painted(1), tree)
+    return rounded(t, 4, "ds3", "ds3_err", "tree", "tree_err", "remainder", "remainder_err")
 
 
 # ---- evolution ----
