@@ -36,11 +36,14 @@ def pencils(mesh: DataFrame, fields: list[str], n: int) -> DataFrame:
     """Cell rows (ix, iy, iz, *fields) -> pencil rows of n values; absent cells are zero."""
     if "iz" not in mesh.columns:
         return mesh.select("ix", "iy", *fields)
-    entry = F.struct(F.col("iz").cast("int"), F.struct(*(F.col(f).cast("double").alias(f) for f in fields)))
-    grouped = mesh.groupBy("ix", "iy").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    out = [F.expr(f"transform(sequence(0, {n - 1}), i -> coalesce(m[i].{f}, 0.0D))").alias(f)
-           for f in fields]
-    return grouped.select("ix", "iy", *out)
+    entry = F.struct(F.col("iz").cast("int").alias("iz"), F.struct(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in fields)).alias("v"))
+    # a pencil's absent cells are appended as zeros, so that sorting by iz fills it in one pass
+    listed = mesh.groupBy("ix", "iy").agg(F.collect_list(entry).alias("m"))
+    none = ", ".join(f"'{f}', 0.0D" for f in fields)
+    absent = (f"transform(array_except(sequence(0, {n - 1}), transform(m, e -> e.iz)), "
+              f"z -> named_struct('iz', z, 'v', named_struct({none})))")
+    filled = listed.select("ix", "iy", F.expr(f"array_sort(concat(m, {absent}), (l, r) -> l.iz - r.iz)").alias("m"))
+    return filled.select("ix", "iy", *(F.expr(f"transform(m, e -> e.v.{f})").alias(f) for f in fields))
 
 
 def block_side(n: int, limit: int = 32) -> int:
@@ -83,11 +86,11 @@ def stencil_weights(pos: np.ndarray, scheme: str, cell: float):
 
 
 def read_blocks(particles: DataFrame, blocks: DataFrame, fields: list[str], scheme: str, n: int,
-                box: float, side: int, out: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
+                box: float, side: int, out: list[str], max_rows: int = MAX_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Weighted stencil read from block rows (block, lx, ly, {field}[side + 2]).
 
     Local index 1 is a block's first cell.  ``particles`` needs a ``salt`` column (see
-    ``with_salt``), which is kept.
+    ``with_salt``), which is kept.  ``counted`` holds the same positions by a shorter plan, to size the chunks by.
     """
     cell, nb = box / n, n // side
     snap = "floor" if scheme == "cic" else "rint"
@@ -95,7 +98,8 @@ def read_blocks(particles: DataFrame, blocks: DataFrame, fields: list[str], sche
     names, schema = particles.columns, particles.schema
     block = F.coalesce((own[0] * nb + own[1]) * nb + own[2], no_position())
     placed = particles.withColumn("block", block)
-    per_block = placed.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    sized = placed if counted is None else counted.withColumn("block", block)
+    per_block = sized.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     chunks = per_block.select("block", F.ceil(F.col("m") / max_rows).cast("long").alias("chunks"))
     left = placed.join(chunks, "block").withColumn("chunk", F.col("salt") % F.col("chunks"))
     left = left.select(*names, "block", "chunk")
@@ -133,9 +137,9 @@ def read_blocks(particles: DataFrame, blocks: DataFrame, fields: list[str], sche
 
 
 def gather(particles: DataFrame, mesh: DataFrame, fields: list[str], scheme: str, n: int,
-           box: float, out: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+           box: float, out: list[str] | None = None, max_rows: int = MAX_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Read mesh ``fields`` (cell or pencil rows) at each particle; absent cells count as zero."""
     side = block_side(n)
     out = out or [f"{f}_at" for f in fields]
     blocks = _block_rows(mesh, fields, n, side)
-    return read_blocks(particles, blocks, fields, scheme, n, box, side, out, max_rows)
+    return read_blocks(particles, blocks, fields, scheme, n, box, side, out, max_rows, counted)

@@ -20,6 +20,7 @@ from meshtide.functions import lattice as L
 from meshtide.operators import deposit as D
 from meshtide.operators import spectral as S
 from meshtide.operators.components import components
+from meshtide.operators.rank import percentiles
 from meshtide.session import durable
 
 # Lower member-count edges of the abundance and matching tables; the last bin is open.
@@ -212,10 +213,10 @@ def match_table(pairs: DataFrame, a: DataFrame, b: DataFrame, lat: Lattice, edge
     """(bin, matched, f_match_a, f_match_b, p16, p50, p84 of ln(n_b/n_a), median offset / R200m)."""
     p = pairs.withColumn("bin", count_bin(F.col("n_a"), edges)).filter("bin is not null")
     p = p.withColumn("lr", F.log(F.col("n_b") / F.col("n_a"))).withColumn("off", F.col("d") / r200m(F.col("n_a"), lat))
-    t = p.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("matched"), *(F.percentile("lr", F.lit(q)).alias(f"p{int(q * 100)}")
-                                              for q in (0.16, 0.5, 0.84)),
-        F.percentile("off", F.lit(0.5)).alias("med_offset"))
+    p = durable(p.select("bin", "lr", "off"))
+    t = p.groupBy("bin").agg(F.count(F.lit(1)).alias("matched"))
+    t = t.join(percentiles(p, "lr", {"p16": 0.16, "p50": 0.5, "p84": 0.84}, ["bin"]), "bin")
+    t = t.join(percentiles(p, "off", {"med_offset": 0.5}, ["bin"]), "bin")
     hb = pairs.withColumn("bin", count_bin(F.col("n_b"), edges)).groupBy("bin").agg(F.count(F.lit(1)).alias("mb"))
     ab = abundance(a, b, edges)
     out = ab.select("bin", "n_a", "n_b").join(t, "bin", "left").join(hb, "bin", "left")

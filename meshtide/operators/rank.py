@@ -56,3 +56,21 @@ def ranked(df: DataFrame, group: str, order: list[str], out: str = "rank") -> Da
     starts = prefix_sums(sizes, group, "_size", "_first").select(group, "_first")
     joined = ordered.join(starts, group)
     return joined.withColumn(out, F.col("ordinal") - F.col("_first")).select(*df.columns, out)
+
+
+def percentiles(df: DataFrame, value: str, probs: dict[str, float], group: list[str] | None = None) -> DataFrame:
+    """Exact interpolated percentiles of the values that are not null: one row per group, or one in all.
+
+    Positions come from the global order, so no task holds a group; two rows per percentile and group are read.
+    """
+    group = group or []
+    ordered = global_order(df.select(*group, F.col(value).alias("_v")).filter("_v is not null"), [*group, "_v"])
+    sizes = ordered.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("ordinal").alias("_first"))
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("place")) for k, p in probs.items())))
+    wanted = sizes.select(*group, "_first", at.alias("_w")).select(*group, "_first", "_w.*")
+    wanted = wanted.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))))
+    wanted = wanted.withColumn("ordinal", F.col("_k") + F.col("_first"))
+    found = wanted.join(ordered.select("ordinal", "_v"), "ordinal")
+    share = 1.0 - F.abs(F.col("ordinal") - F.col("_first") - F.col("place"))  # of the two neighbours; 1 on a place
+    rows = found.groupBy(*group).agg(*(F.sum(F.when(F.col("name") == k, share * F.col("_v"))).alias(k) for k in probs))
+    return rows.select(*group, *probs)

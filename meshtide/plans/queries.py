@@ -503,13 +503,16 @@ def force_error_percentiles(spark, sf):
     g = FO.two_level_force(salted_lines(spark, sf), GEO, total(spark, sf))
     got = [f"g{a}_at" for a in AXES]
     g = g.withColumnsRenamed({c: f"t{c}" for c in got})
-    m = FO.force_global(g, GEO.n_fine, BOX, total(spark, sf), "mono", scheme="cic")
+    m = FO.force_global(salted_lines(spark, sf), GEO.n_fine, BOX, total(spark, sf), "mono", scheme="cic", readers=g, same=True)
     return FO.force_error_stats(m, [f"t{c}" for c in got], got)
 
 
 @query
 def newton_pair_field(spark, sf):
-    """Periodic Newtonian field at every supplier-to-centre separation."""
+    """Periodic Newtonian field of a charge at the origin, at every position of orders.
+
+    Positions are moved by 2^-10, since one at the origin would have no finite field.
+    """
     p = particles(spark, sf, "orders").select(*((F.col(a) + F.lit(0.0009765625)).alias(a) for a in AXES))
     return rounded(FO.newton_field(p, BOX), 9, "ex", "ey", "ez")
 
@@ -814,8 +817,8 @@ def quantisation_statistics(spark, sf):
     q = GEO.lattice.quantum
     v = lines(spark, sf).select(F.explode(F.array("vx", "vy", "vz")).alias("v"))
     a = F.abs(F.col("v") * F.lit(0.004)) / F.lit(q)
-    return v.select(a.alias("a")).agg(rd(F.percentile("a", F.lit(0.5)), 9).alias("med"),
-                                      rd(F.avg((F.col("a") < 0.5).cast("int")), 9).alias("below_half"))
+    below = v.agg(rd(F.avg((a < 0.5).cast("int")), 9).alias("below_half"))
+    return rounded(R.percentiles(v.select(a.alias("a")), "a", {"med": 0.5}), 9, "med").join(below)
 
 
 # ---- halos ----

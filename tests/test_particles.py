@@ -228,3 +228,17 @@ def test_tile_ownership_is_a_partition(spark):
     claims = ST.tile_bricks(scales, GEO).filter("owned")
     assert ST.diagnose_partition(claims, scales, "brick").isEmpty()
     assert not ST.diagnose_partition(claims.unionByName(claims), scales, "brick").isEmpty()
+
+
+def test_percentiles_through_the_order(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(g), None if v < -1.5 else float(v)) for g, v in zip(r.integers(0, 3, 500), np.round(r.normal(size=500), 1))] + [(9, 5.0), (8, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    probs = {"low": 0.16, "mid": 0.5, "top": 1.0}
+    got = {x.g: x for x in R.percentiles(df, "v", probs, ["g"]).collect()}
+    assert sorted(got) == [0, 1, 2, 9]
+    for g, x in got.items():
+        own = [v for h, v in rows if h == g and v is not None]
+        assert [x.low, x.mid, x.top] == pytest.approx(np.quantile(own, [0.16, 0.5, 1.0]))
+    every = R.percentiles(df, "v", probs).first()
+    assert every.mid == pytest.approx(np.median([v for _, v in rows if v is not None]))

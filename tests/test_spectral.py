@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,11 @@ def test_tiled_force_is_the_tile_algorithm(spark):
     assert own.sum() > 3 and np.abs(got["gx_at"].to_numpy()[own] - want).max() < 1e-11
 
 
+def test_erfc():
+    x = np.concatenate([np.linspace(0.0, 6.0, 601), [2.5, 10.0, 26.0]])
+    assert np.allclose(FO.erfc(x), [math.erfc(v) for v in x], rtol=3e-12, atol=1e-15)
+
+
 def test_newton_field_is_antisymmetric_and_inverse_square(spark):
     pts = np.array([[0.5, 0.0, 0.0], [-0.5, 0.0, 0.0]])
     e = FO.newton_field(frame(spark, pts).select("x", "y", "z"), BOX).toPandas()
