@@ -668,3 +668,43 @@ SQL["halo_bias"] = recursive(
     f"select bin::int as bin, n_a, n_b, shell::int as shell, {rd('k_mean', 6)} as k_mean, n_modes, {rd('ba', 6)} as b_a, {rd('bb', 6)} as b_b,"
     f" {rd('ba / bb', 6)} as b_ratio, {rd('hh_ab / sqrt(hh_a * hh_b)', 6)} as r_hh, {rd('mm_a / mm_b * pow(t_b / t_a, 2.0)', 6)} as pmm_ratio,"
     f" {rd('mm_ab / sqrt(mm_a * mm_b)', 6)} as r_mm from bb")
+
+
+def _momenta(src: str, t: str) -> list[str]:
+    fields = {f"{t}_rho": "1.0", f"{t}_px": "vx", f"{t}_py": "vy", f"{t}_pz": "vz"}
+    return [c.replace("st_f", f"st_{t}") for c in float_mesh(src, "cic", N, fields, " - 0.5", f"fm_{t}")[1:]]
+
+
+_P4 = ["rho", "px", "py", "pz"]
+_BOTH = [f"{t}_{c}" for t in "ab" for c in _P4]
+_dot = lambda x, y: f"({x}_re * {y}_re + {x}_im * {y}_im)"
+_KINDS = {"density": ["rho"], "momentum": ["px", "py", "pz"], "divergence": ["div"]}
+_product = {f"{x}{y}_{k}": " + ".join(_dot(f"{x}_{c}", f"{y}_{c}") for c in cs) for k, cs in _KINDS.items() for x, y in ("aa", "bb", "ab")}
+SQL["velocity_compare"] = sql(
+    ENC + moved("c", False)[:1] + ["pv as (select " + ", ".join(f"j{a} * {Q!r} as {a}, w_{a} * vel_scale as v{a}" for a in "xyz") + " from mv)", offsets("cic")]
+    + _momenta("p", "a") + _momenta("pv", "b")
+    + [f"d as (select ix, iy, iz, {', '.join(f'coalesce({c}, 0) as {c}' for c in _BOTH)} from fm_a full join fm_b using (ix, iy, iz))"]
+    + fft("d", _BOTH, "f") + [waves("f", "fw"),
+    "dv as (select *, " + ", ".join(f"-({' + '.join(f'w{a} * {t}_p{a}_im' for a in 'xyz')}) as {t}_div_re, {' + '.join(f'w{a} * {t}_p{a}_re' for a in 'xyz')} as {t}_div_im"
+                                    for t in "ab") + f", {_HW} as w, cast(floor((sqrt(n2) - 0.5) / 2) as bigint) as bin from fw)",
+    "sm as (select bin, sum(w) as n_modes, sum(w * sqrt(n2)) as kw, " + ", ".join(f"sum(w * ({e})) as {n}" for n, e in _product.items()) + " from dv where bin between 0 and 2 group by bin)"],
+    f"select bin, {rd(f'kw / n_modes * {KF!r}', 6)} as k, n_modes, " + ", ".join(
+        f"{rd(f'aa_{k} / bb_{k}', 6)} as {k}_ratio, {rd(f'ab_{k} / sqrt(aa_{k} * bb_{k})', 6)} as {k}_r" for k in _KINDS) + " from sm")
+
+# Ewald sum with its constants written out: screening 2.5 / box, 2 images and 6 waves a side; erf by its ascending series.
+_AE = f"(2.5 / {BOX!r})"
+_series = "0.0"
+for _k in range(90, -1, -1):  # 2^k / (2k + 1)!! by Horner's scheme
+    _series = f"({2.0**_k / math.prod(range(1, 2 * _k + 2, 2))!r} + u * u * {_series})"
+_erfc = f"(case when u < 5.0 then 1.0 - 2.0 / sqrt(pi()) * exp(-u * u) * u * {_series} else 0.0 end)"
+_side = lambda n: f"(select unnest(range({-n}, {n + 1})) as i)"
+SQL["newton_pair_field"] = sql(
+    [f"po as (select row_number() over () as id, x + 0.0009765625 as x, y + 0.0009765625 as y, z + 0.0009765625 as z from ({particles_sql('orders')}))",
+     f"ri as (select id, po.x + a.i * {BOX!r} as rx, po.y + b.i * {BOX!r} as ry, po.z + c.i * {BOX!r} as rz from po, {_side(2)} a, {_side(2)} b, {_side(2)} c)",
+     f"rr as (select *, sqrt(rx * rx + ry * ry + rz * rz) as r, {_AE} * sqrt(rx * rx + ry * ry + rz * rz) as u from ri)",
+     f"rs as (select *, ({_erfc} + 2.0 * u / sqrt(pi()) * exp(-u * u)) / pow(r, 3) as s from rr)",
+     "near as (select id, sum(rx * s) as ex, sum(ry * s) as ey, sum(rz * s) as ez from rs group by id)",
+     f"kv as (select a.i * {KF!r} as wx, b.i * {KF!r} as wy, c.i * {KF!r} as wz from {_side(6)} a, {_side(6)} b, {_side(6)} c where a.i <> 0 or b.i <> 0 or c.i <> 0)",
+     f"kc as (select *, 4.0 * pi() / {BOX**3!r} * exp(-(wx * wx + wy * wy + wz * wz) / (4.0 * {_AE} * {_AE})) / (wx * wx + wy * wy + wz * wz) as f from kv)",
+     "far as (select id, " + ", ".join(f"sum(sin(x * wx + y * wy + z * wz) * f * w{a}) as e{a}" for a in "xyz") + " from po, kc group by id)"],
+    "select x, y, z, " + ", ".join(f"{rd(f'n.e{a} + f.e{a}', 9)} as e{a}" for a in "xyz") + " from po join near n using (id) join far f using (id)")
