@@ -36,7 +36,8 @@ class Model:
     bias: float
 
 
-def train(rows: Sample, bits: int = BITS, dim: int = 16, epochs: int = 4, rate: float = 1.0, seed: int = 1) -> Model:
+def train(rows: Sample, bits: int = BITS, dim: int = 16, updates: int = 12_000, rate: float = 1.0, seed: int = 1) -> Model:
+    """At least ``updates`` steps, and whole passes over the sample."""
     ones, n = int(rows.label.sum()), len(rows.label)
     prior = float(np.log((ones + 1) / (n - ones + 1)))
     if ones in (0, n):
@@ -44,6 +45,7 @@ def train(rows: Sample, bits: int = BITS, dim: int = 16, epochs: int = 4, rate:
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.array([0, prior], np.float32)
+    epochs = -(-updates // n)
     done, steps = 0, epochs * n
     for _ in range(epochs):
         for i in random.permutation(n):

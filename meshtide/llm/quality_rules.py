@@ -39,7 +39,8 @@ class Rules:
     shift: float = 0.0
 
 
-def train(rows: Sample, bits: int = BITS, epochs: int = 4, rate: float = 1.0, seed: int = 1) -> Rules:
+def train(rows: Sample, bits: int = BITS, updates: int = 10_000, rate: float = 1.0, seed: int = 1) -> Rules:
+    """At least ``updates`` steps, and whole passes over the sample's training part."""
     label = rows.label.astype(np.float64)
     random = np.random.default_rng(seed)
     order = random.permutation(len(label))
@@ -47,7 +48,7 @@ def train(rows: Sample, bits: int = BITS, epochs: int = 4, rate: float = 1.0, se
     if len({*label[own]}) < 2 or len({*label[aside]}) < 2:
         return Rules()
     weight, seen, bias = np.zeros(1 << bits), np.full(1 << bits, 1e-10), float(np.log(label[own].mean() / (1 - label[own].mean())))
-    for _ in range(epochs):
+    for _ in range(-(-updates // len(own))):
         for i in random.permutation(own):
             ids, share = rows.ids[i], rows.shares[i]
             slope = (1 / (1 + np.exp(-(share @ weight[ids] + bias))) - label[i]) * share
