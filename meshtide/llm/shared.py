@@ -32,6 +32,15 @@ def delete_folder(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fewer_files(df: DataFrame) -> DataFrame:
+    """For rows much smaller than the shuffle before them: an eighth of its partitions, but a task for every core.
+
+    A task then goes through several partitions, one after the other, and writes one file.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 class Scratch:
     """Tables of one call in the shared folder; they outlive lost executors.
 
@@ -55,9 +64,7 @@ class Scratch:
         ``few``: for a table much smaller than the shuffle before it, fewer and larger files.
         """
         where = self.new_folder()
-        if few:
-            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, tasks // 8))
+        df = fewer_files(df) if few else df
         df.write.parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch = where

@@ -40,7 +40,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, bits: int, max_rows:
 
     with Scratch(docs.sparkSession) as scratch:
         table = scratch.cut(arrow_map(own.select("h", F.col("label").cast("int").alias("label"), "text"), run,
-                                      "h string, label int, n int, ids binary, counts binary"))
+                                      "h string, label int, n int, ids binary, counts binary"), few=True)
         sizes = sorted((r.h, r.n) for r in table.select("h", "n").collect())
         fits = np.cumsum([n for _, n in sizes]) <= max_features
         last = sizes[int(fits.sum()) - 1][0] if fits.any() else ""
