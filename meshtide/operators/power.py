@@ -212,6 +212,45 @@ def ratio(a: DataFrame, b: DataFrame, value: str = "p") -> DataFrame:
                     .otherwise(bad).alias("ratio"))
 
 
+# ---- linear recovery ----
+
+def linear_recovery(mesh: DataFrame, field: str, n: int, box: float, linear, scale: float = 1.0, bins: int = 48) -> DataFrame:
+    """(bin, k, n_modes, ratio, mode_mean, sigma): measured over linear power in log bins up to the mesh Nyquist.
+
+    ``ratio`` divides bin averages, ``mode_mean`` averages each mode's own quotient; ``sigma`` is the scatter of a
+    Gaussian field.  Each ky-plane is reduced to a row per bin inside its task.
+    """
+    cell = box / n
+    edges = np.geomspace(0.999 * 2.0 * math.pi / box, math.pi / cell, bins + 1)
+    names = ["w", "k", "p", "lin", "r"]
+
+    def fn(ky, fields):
+        k = np.sqrt(K.pencil_k(n, cell, ky)[3])
+        weight = np.broadcast_to(np.where(np.arange(n // 2 + 1) % (n // 2) == 0, 1.0, 2.0), k.shape)
+        at = np.digitize(k, edges) - 1
+        inside = (at >= 0) & (at < bins)
+        at, k, weight, found = at[inside], k[inside], weight[inside], np.abs(fields[0])[inside] ** 2
+        found, expected = found * scale**2 * box**3 / float(n) ** 6, linear(k) if len(k) else k
+        add = lambda v: np.bincount(at, weights=v * weight, minlength=bins).astype(float)
+        cols = [add(np.ones_like(k)), add(k), add(found), add(expected), add(found / expected)]
+        return pa.table({"bin": pa.array(np.arange(bins), pa.int64())} | dict(zip(names, cols)))
+
+    parts = S.ky_map(mesh, [field], n, fn, "bin long, " + ", ".join(f"{c} double" for c in names))
+    t = parts.groupBy("bin").agg(*(F.sum(c).alias(c) for c in names)).filter("w > 0")
+    w = F.col("w")
+    return t.select("bin", (F.col("k") / w).alias("k"), w.alias("n_modes"), (F.col("p") / F.col("lin")).alias("ratio"),
+                    (F.col("r") / w).alias("mode_mean"), F.sqrt(2.0 / w).alias("sigma"))
+
+
+def recovery_summary(rows: DataFrame, k_low: float) -> DataFrame:
+    """One row: chi2 of the ratio against 1, bins, and the mean quotient over all modes and below ``k_low``, with errors."""
+    low = F.when(F.col("k") < k_low, F.col("n_modes"))
+    mean = lambda w: F.sum(F.col("mode_mean") * w) / F.sum(w)
+    return rows.agg(F.sum(((F.col("ratio") - 1.0) / F.col("sigma")) ** 2).alias("chi2"), F.count(F.lit(1)).alias("dof"),
+                    mean(F.col("n_modes")).alias("mean_all"), F.sqrt(2.0 / F.sum("n_modes")).alias("err_all"),
+                    mean(low).alias("mean_low"), F.sqrt(2.0 / F.sum(low)).alias("err_low"))
+
+
 # ---- interlaced and velocity spectra ----
 
 def interlaced_pk(particles: DataFrame, n: int, box: float, n_particles: int,

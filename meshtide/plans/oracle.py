@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from meshtide.functions import cosmology as C
 from meshtide.functions.dither import AXIS_MUL, KEY_MUL, MIX
 from meshtide.functions.schedule import momentum_factor
@@ -708,3 +710,29 @@ SQL["newton_pair_field"] = sql(
      f"kc as (select *, 4.0 * pi() / {BOX**3!r} * exp(-(wx * wx + wy * wy + wz * wz) / (4.0 * {_AE} * {_AE})) / (wx * wx + wy * wy + wz * wz) as f from kv)",
      "far as (select id, " + ", ".join(f"sum(sin(x * wx + y * wy + z * wz) * f * w{a}) as e{a}" for a in "xyz") + " from po, kc group by id)"],
     "select x, y, z, " + ", ".join(f"{rd(f'n.e{a} + f.e{a}', 9)} as e{a}" for a in "xyz") + " from po join near n using (id) join far f using (id)")
+
+# The linear spectrum at the lattice's own wavenumbers, one constant per squared mode number.
+_lin_fn = C.SpectrumTable(COSMO, N, BOX).power_fn()
+_N2 = [v for v in range(1, 3 * (N // 2) ** 2 + 1)]
+_LIN = ("ln as (select * from (values " + ", ".join(f"({v}, {float(p)!r}::double)" for v, p in zip(_N2, _lin_fn(KF * np.sqrt(np.array(_N2, float))))) + ") l(n2, lin))")
+_LOG = np.geomspace(0.999 * KF, math.pi * N / BOX, 49)
+_RECOVER = _MODES + [
+    _LIN, "eg as (select * from (values " + ", ".join(f"({i}, {float(lo)!r}, {float(hi)!r})" for i, (lo, hi) in enumerate(zip(_LOG[:-1], _LOG[1:]))) + ") e(bin, lo, hi))",
+    f"md as (select cast(fw.n2 as bigint) as n2, sqrt(n2) * {KF!r} as k, {_HW} as w, (d_re*d_re + d_im*d_im) * {_NORM!r} as p from fw where n2 > 0)",
+    "rc as (select bin, sum(w) as w, sum(w * k) / sum(w) as k, sum(w * p) / sum(w * lin) as ratio, sum(w * p / lin) / sum(w) as mode_mean"
+    " from md join ln using (n2) join eg on k >= lo and k < hi group by bin)"]
+SQL["pk_linear_recovery"] = sql(_RECOVER, f"select bin::bigint as bin, {rd('k', 6)} as k, w as n_modes, {rd('ratio', 6)} as ratio, {rd('mode_mean', 6)} as mode_mean,"
+                                f" {rd('sqrt(2.0 / w)', 6)} as sigma from rc")
+SQL["pk_recovery_summary"] = sql(
+    _RECOVER, f"select {rd('sum(pow(ratio - 1.0, 2) * w / 2.0)', 4)} as chi2, count(*) as dof, {rd('sum(mode_mean * w) / sum(w)', 4)} as mean_all,"
+    f" {rd('sqrt(2.0 / sum(w))', 4)} as err_all, {rd('sum(mode_mean * w) filter (k < 0.5) / sum(w) filter (k < 0.5)', 4)} as mean_low,"
+    f" {rd('sqrt(2.0 / sum(w) filter (k < 0.5))', 4)} as err_low from rc")
+_d2a = C.growth(A_OUT, COSMO) ** 2
+_CARDS = _CARD + [_LIN, f"cd as (select bin, sum(k * w) / sum(w) as k_mean, sum((raw / w2 - {BOX**3!r} / m) * w) / sum(w) as p, sum(w) as n_modes,"
+                  f" sum({_d2a!r} * lin * w) / sum(w) as p_oracle, sum(w2 * w) / sum(w) as window_correction, {_shot} / (sum(raw * w) / sum(w)) as shot_fraction"
+                  f" from (select *, cast(round(pow(k / {KF!r}, 2), 0) as bigint) as n2 from cb) join ln using (n2) where bin between 0 and {len(EDGES) - 2} group by bin having sum(w) > 20)",
+                  "cz as (select *, (p / p_oracle - 1.0) / sqrt(2.0 / n_modes) as z_profile from cd)"]
+SQL["pk_card_oracle"] = sql(_CARDS, "select bin, n_modes, " + ", ".join(
+    f"{rd(c, 6)} as {c}" for c in ("k_mean", "p", "p_oracle", "z_profile", "window_correction", "shot_fraction")) + " from cz")
+SQL["band_verdict"] = sql(_CARDS, f"select {rd(repr(KF), 6)} as k_min, {rd(repr(6 * KF), 6)} as k_max, count(*) as n_bins, {rd('max(abs(z_profile))', 6)} as max_abs_z,"
+                          f" max(abs(z_profile)) < 5.0 as ok from cz where k_mean between {KF!r} and {6 * KF!r}")

@@ -634,6 +634,22 @@ def band_verdict(spark, sf):
     return rounded(P.band_verdict(card(spark, sf), 6 * KF, KF, 5.0), 6, "k_min", "k_max", "max_abs_z")
 
 
+def recovery(spark, sf):
+    linear = C.SpectrumTable(COSMO, N, BOX).power_fn()
+    return P.linear_recovery(counts_mesh(spark, sf), "d", N, BOX, linear)
+
+
+@query
+def pk_linear_recovery(spark, sf):
+    """Measured over linear power of the table's mesh, in 48 log bins."""
+    return rounded(recovery(spark, sf), 6, "k", "ratio", "mode_mean", "sigma")
+
+
+@query
+def pk_recovery_summary(spark, sf):
+    return rounded(P.recovery_summary(recovery(spark, sf), 0.5), 4, "chi2", "mean_all", "err_all", "mean_low", "err_low")
+
+
 @query
 def card_bin_shells(spark, sf):
     """The lattice shells and mode weights the card's bins average over."""

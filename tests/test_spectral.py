@@ -231,3 +231,14 @@ def test_lattice_shells(spark):
 
 def test_dense_helper(spark):
     assert dense(mesh_frame(spark, np.ones((2, 2, 2))), 2).sum() == 8
+
+
+def test_linear_recovery_of_white_noise(spark):
+    """Unit white noise has power box^3 / n^3 at every mode: quotients average to one, chi2 to its bins."""
+    n = 16
+    noise = np.random.default_rng(6).normal(size=(n, n, n))
+    cells = pd.DataFrame([(*c, noise[c]) for c in np.ndindex(noise.shape)], columns=["ix", "iy", "iz", "d"])
+    rows = P.linear_recovery(spark.createDataFrame(cells), "d", n, BOX, lambda k: np.full(len(k), BOX**3 / n**3))
+    got = P.recovery_summary(rows, 1.0).first()
+    assert abs(got.mean_all - 1) < 5 * got.err_all and abs(got.mean_low - 1) < 5 * got.err_low
+    assert got.chi2 < 3 * got.dof and rows.agg({"n_modes": "sum"}).first()[0] <= n**3 - 1
