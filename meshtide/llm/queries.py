@@ -39,4 +39,15 @@ marked AS (SELECT l.*, h.key IS NOT NULL AND h.stays <> l.doc_id AS gone FROM li
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op8_passages": r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 19, 0))) AS p FROM split),
+passage AS (SELECT doc_id, p, array_to_string(ws[p + 1:p + 20], ' ') AS words FROM starts),
+earliest AS (SELECT words, min((doc_id, p)) AS place FROM passage GROUP BY words HAVING count(*) > 1),
+later AS (SELECT doc_id, p FROM passage JOIN earliest USING (words) WHERE (doc_id, p) > place),
+gone AS (SELECT DISTINCT doc_id, p + i AS p FROM later, range(20) r(i)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM split),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS text, count(*) AS n FROM words w ANTI JOIN gone USING (doc_id, p) GROUP BY w.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)""",
 }
