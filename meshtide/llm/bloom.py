@@ -12,12 +12,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meshtide.llm.shared import arrow_map
 
 SHARDS = 256
 PROBES = 4
-HASHES = "shard int, h long"
+HASHES = "h long"
 
 
 def bit_places(h: np.ndarray, bits: int) -> np.ndarray:
@@ -31,12 +32,11 @@ def shard_of(h: np.ndarray) -> np.ndarray:
 
 
 def at_most_twice(parts: Iterable[np.ndarray], rows: int = 1 << 20) -> Iterator[dict]:
-    """Rows (shard, h) of the hashes in ``parts``: every ``rows`` of them, each distinct one once or, if it repeats, twice."""
+    """Rows (h) of the hashes in ``parts``: every ``rows`` of them, each distinct one once or, if it repeats, twice."""
 
     def out(held):
         u, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-        h = np.concatenate([u, u[n > 1]])
-        return {"shard": shard_of(h), "h": h.view(np.int64)}
+        return {"h": np.concatenate([u, u[n > 1]]).view(np.int64)}
 
     held, size = [], 0
     for h in parts:
@@ -70,7 +70,8 @@ def _shards(bits: int, twice: bool):
             return {"shard": [at], "bits": [zlib.compress(np.packbits(again if twice else seen).tobytes(), 1)]}
 
         for b in batches:
-            shard, h = b["shard"].to_numpy(), b["h"].to_numpy().view(np.uint64)
+            h = b["h"].to_numpy().view(np.uint64)
+            shard = shard_of(h)
             edges = np.flatnonzero(np.diff(shard)) + 1
             for part in np.split(np.arange(len(h)), edges) if len(h) else []:
                 if shard[part[0]] != at:
@@ -88,9 +89,10 @@ def _shards(bits: int, twice: bool):
 
 
 def build(hashes: DataFrame, twice: bool, max_mb: int = 256) -> Filter:
-    """The filter of the hashes (shard, h), a stored table, that appear at all, or that appear twice or more."""
+    """The filter of the hashes (h), a stored table, that appear at all, or that appear twice or more."""
     wanted = max(10, int(10 * hashes.count() / SHARDS).bit_length())
     made = Filter(1 << min(wanted, (max_mb * 2**23 // SHARDS).bit_length() - 1))
-    for shard, packed in arrow_map(hashes.repartition("shard").sortWithinPartitions("shard"), _shards(made.bits, twice), "shard int, bits binary").collect():
+    shard = F.col("h").bitwiseAND(SHARDS - 1)
+    for shard, packed in arrow_map(hashes.repartition(shard).sortWithinPartitions(shard), _shards(made.bits, twice), "shard int, bits binary").collect():
         made.table[shard] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return made

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.llm.bloom import HASHES, at_most_twice, build, shard_of
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes, skewed_join
+from meshtide.llm.bloom import HASHES, at_most_twice, build
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 from meshtide.llm.windows import MIX, anchors, mixed, segments
 
 LENGTH = 400
@@ -241,7 +241,7 @@ def _repeats(rows: list[tuple]) -> dict:
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, same, spans): per text of ``texts`` (key, same, text) its repeated stretches, not yet merged."""
+    """(key, same, spans): per text of ``texts`` (key, same, text) its repeated stretches, apart and in order."""
     spark = texts.sparkSession
 
     def all_cores(batches):
@@ -252,36 +252,43 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(hashes)
     found = scratch.cut(arrow_map(texts, _repeated(seen_twice), "core long, full long, place long, key long, same long, first int, n int"))
     contents = scratch.cut(found.groupBy("core", "full").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.first("n").alias("windows")), few=True)
-    whole = skewed_join(found.withColumnRenamed("n", "windows"), contents.where("n > 1").select("core", "full", "n"), ["core", "full"])
+    whole = skewed_join(found.select("core", "full", "key", "same", "first", F.col("n").alias("windows")), contents.where("n > 1").select("core", "full", "n"), ["core", "full"])
     whole = whole.select("key", "same", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("b"))
 
     mixed_cores = contents.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     chosen = scratch.cut(skewed_join(contents.select("core", "place", "windows"), scratch.cut(mixed_cores, few=True), ["core"]).select(
         F.col("place").alias("h"), "windows"), few=True)
-    shard = chosen.select(F.col("h").bitwiseAND(255).cast("int").alias("shard"), "h")
     parts = max(64, (chosen.agg(F.sum("windows")).first()[0] or 0) // 100_000)
-    sides = spark.sparkContext.broadcast(build(shard, twice=False))
+    sides = spark.sparkContext.broadcast(build(chosen.select("h"), twice=False))
     runs = scratch.cut(arrow_map(texts, _runs(sides, parts), f"{COVER}, part int, lcp binary, rest binary, owner binary, place binary, owners binary"))
     dealt = runs.where("part is not null").drop("key", "same", "a", "b").repartition("part").sortWithinPartitions("part")
     single = arrow_map(dealt, _merged, COVER).unionByName(runs.where("part is null").select("key", "same", "a", "b"))
-    return scratch.cut(whole.unionByName(single).groupBy("key", "same").agg(F.collect_list(F.struct("a", "b")).alias("spans")), few=True)
+    spans = whole.unionByName(single).groupBy("key", "same").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return scratch.cut(arrow_map(spans, _merged_spans, "key long, same long, spans array<struct<a:int, b:int>>"), few=True)
 
 
-def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merge_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and adjoining spans put together, in order."""
+    order = np.argsort(a, kind="stable")
+    a, far = a[order], np.maximum.accumulate(b[order])
+    first = np.concatenate([[True], a[1:] > far[:-1]])
+    return a[first], far[np.concatenate([first[1:], [True]])]
+
+
+def _merged_spans(batches):
+    for batch in batches:
+        lists = batch["spans"]
+        a, b = (lists.flatten().field(k).to_numpy() for k in range(2))
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        spans = [merge_spans(a[i:j], b[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+        yield {"key": batch["key"], "same": batch["same"], "spans": [[{"a": int(x), "b": int(y)} for x, y in zip(*s, strict=True)] for s in spans]}
 
 
 def _removed(batches):
     for b in batches:
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
         for text, spans in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
-            gone = merge_spans(spans)
+            gone = [(s["a"], s["b"]) for s in spans or ()]
             kept = b"".join(text[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(text)], strict=True))
             for k, v in zip(out, (len(text), len(text) - len(kept), len(gone), kept), strict=True):
                 out[k].append(v)
@@ -301,7 +308,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """The query's columns."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return fewer_files(out)
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
