@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from meshtide.llm.bloom import HASHES, at_most_twice, build
 from meshtide.llm.ngrams import blocks, word_hashes
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes, skewed_join
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 from meshtide.llm.windows import MIX, anchors, mixed
 
 WINDOW = 20
@@ -132,7 +132,7 @@ def later_passages(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     def hashed(batches):
         for b in batches:
             h = place_ids(b["key"].to_numpy(), b["first"].to_numpy())
-            yield {"shard": (h & np.uint64(255)).astype(np.int32), "h": h.view(np.int64)}
+            yield {"h": h.view(np.int64)}
 
     places = context.broadcast(build(scratch.cut(arrow_map(chosen, hashed, HASHES), few=True), twice=False))
     windows = scratch.cut(arrow_map(texts, _windows(places), "core long, window long, key long, start int"))
@@ -142,7 +142,24 @@ def later_passages(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     return again.unionByName(single).where("key > first_key or key = first_key and start > first_start"), total
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept binary"
+def joined_places(passages: pa.Table) -> list[tuple[int, int, int, tuple[int, int]]]:
+    """(key, start, words, (first_key, first_start)), each first place and length once.
+
+    Passages of a document that overlap by all but a word, or more, and whose first places lie as they do, are one.
+    """
+    key, start, words, first_key, first_start = (passages[c].to_numpy() for c in ("key", "start", "words", "first_key", "first_start"))
+    apart = start.astype(np.int64) - first_start
+    order = np.lexsort((start, apart, first_key, key))
+    key, start, words, first_key, first_start, apart = (x[order] for x in (key, start.astype(np.int64), words, first_key, first_start, apart))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (first_key[1:] != first_key[:-1]) | (apart[1:] != apart[:-1])])[:len(key)]
+    lane = np.cumsum(new) << 40
+    end = np.maximum.accumulate(start + words + lane) - lane
+    new[1:] |= start[1:] > end[:-1] - WINDOW + 1
+    at = np.flatnonzero(new)
+    size = end[np.concatenate([at[1:], [len(key)]])[:len(at)] - 1] - start[at]
+    firsts = np.stack([first_key[at], first_start[at].astype(np.int64), size], axis=1)
+    once = np.unique(firsts, axis=0, return_index=True)[1]
+    return [(int(key[i]), int(start[i]), int(n), (int(first_key[i]), int(first_start[i]))) for i, n in zip(at[once], size[once], strict=True)]
 
 
 def _stream(documents: pa.Table, passages: pa.Table) -> pa.Table:
@@ -157,14 +174,11 @@ def _stream(documents: pa.Table, passages: pa.Table) -> pa.Table:
     for i, k in enumerate(keys):
         rows_of.setdefault(k, []).append(i)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for first_key, first_start, n, key, start in {
-            (p["first_key"], p["first_start"], p["words"]): (p["first_key"], p["first_start"], p["words"], p["key"], p["start"])
-            for p in passages.to_pylist()}.values():
+    for key, start, n, first in joined_places(passages):
         for i in rows_of[key]:  # rows of one doc_id may differ in text; a place beyond the text is another row's
             passage = coded[i][start:start + n]
             if len(passage) == n:
-                held = automaton.get(passage, None)
-                automaton.add_word(passage, min((first_key, first_start, n), held or (first_key, first_start, n)))
+                automaton.add_word(passage, min((*first, n), automaton.get(passage, (*first, n))))
     compiled = len(automaton) > 0
     if compiled:
         automaton.make_automaton()
@@ -202,7 +216,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """The query's columns."""
-    return remove_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return fewer_files(remove_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
