@@ -16,17 +16,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     is a map-side combined aggregate, so a node with very many neighbours costs one row per task.
     """
     maps: list[DataFrame] = []
-    left = scratch.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = scratch.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), few=True)
     while not left.isEmpty():
         rank = F.struct(F.xxhash64("to", F.lit(len(maps))).alias("p"), F.col("to"))
         both = left.select(F.col("a").alias("node"), F.explode(F.array("a", "b")).alias("to")).unionByName(
             left.select(F.col("b").alias("node"), F.explode(F.array("a", "b")).alias("to")))
-        image = scratch.cut(both.groupBy("node").agg(F.min(rank)["to"].alias("image")))
+        image = scratch.cut(both.groupBy("node").agg(F.min(rank)["to"].alias("image")), few=True)
         maps.append(image)
         at_a = image.select(F.col("node").alias("a"), F.col("image").alias("ia"))
         at_b = image.select(F.col("node").alias("b"), F.col("image").alias("ib"))
         moved = left.join(at_a, "a").join(at_b, "b").where("ia <> ib")
-        after = scratch.cut(moved.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct())
+        after = scratch.cut(moved.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct(), few=True)
         scratch.drop(left)
         left = after
     scratch.drop(left)
@@ -35,5 +35,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     root = maps[-1].select("node", F.col("image").alias("root"))
     for image in reversed(maps[:-1]):
         last = root.select(F.col("node").alias("image"), F.col("root").alias("far"))
-        root = scratch.cut(image.join(last, "image", "left").select("node", F.coalesce("far", "image").alias("root")))
+        root = scratch.cut(image.join(last, "image", "left").select("node", F.coalesce("far", "image").alias("root")), few=True)
     return root

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.bloom import HASHES, at_most_twice, build
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes, skewed_join
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     """The key of every line, None where it is too short to count. ``bytes`` methods touch ASCII only."""
@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     out = arrow_map(both.select("_row", "_text", "_gone"), _rewrite(min_chars, ["_row"]),
                     f"_row {row_type}, _kept binary, _n_lines long, _n_dropped long")
     kept = F.col("_kept").cast("string")
-    columns = {c: F.col(f"_row.{c}") for c in rest} | {"text": kept, "n_lines": F.col("_n_lines"), "n_dropped": F.col("_n_dropped")}
+    columns = {c: F.col("_row").getField(c) for c in rest} | {"text": kept, "n_lines": F.col("_n_lines"), "n_dropped": F.col("_n_dropped")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
     order = docs.columns + [c for c in ("n_lines", "n_dropped") if c not in docs.columns]
@@ -132,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
 def digests(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     kept = dedup_lines(docs.select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return fewer_files(kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
 
 
 def brute_force(rows: list[tuple[int, str | None]], min_docs: int = 3, min_chars: int = 20) -> list[tuple]:

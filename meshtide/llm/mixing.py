@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshtide.llm.shared import Scratch
+from meshtide.llm.shared import Scratch, fewer_files
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -62,7 +62,7 @@ def plan(docs: DataFrame, seed: int = 7, keep: list[str] | None = None) -> DataF
     sized = sized.withColumn("class", F.length(F.bin("size")) * 16 + top_bits).withColumn("block", F.substring("h", 1, 2))
     cell = ["key", "class", "block"]
     with Scratch(docs.sparkSession) as scratch:
-        cells = scratch.cut(sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.first("source").alias("source")))
+        cells = scratch.cut(sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.first("source").alias("source")), few=True)
         scratch.keep(cells)
     classes = cells.groupBy("key", "class").agg(F.sum("n").alias("n"))
     sources = targets(cells.groupBy("key").agg(F.sum("s").alias("source_size"), F.first("source").alias("source")))
@@ -83,12 +83,12 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix: whole rows of ``docs``, each as many times as it is taken."""
     taken = plan(docs, seed, keep=docs.columns).where("copies > 0")
     each = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return each.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """The query's columns."""
-    return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return fewer_files(plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")))
 
 
 SQL = r"""

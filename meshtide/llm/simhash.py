@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.graph import components
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files
 
 BITS = 64
 TILE = 4096
@@ -124,7 +124,7 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 4) -> DataFrame:
     masks = block_masks(prints.count(), distance)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keyed = prints.select("fp", keys.alias("k")).select("k.block", "k.key", "fp")
-    shared = scratch.cut(keyed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = scratch.cut(keyed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1"), few=True)
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     tile = F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j), F.greatest(own, j))))
@@ -132,18 +132,18 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 4) -> DataFrame:
     # equal hashes of two groups would only add comparisons, never lose one
     group = met.select("fp", F.xxhash64("block", "key", "tile").alias("g"))
     dealt = group.repartition("g").sortWithinPartitions("g", "fp")
-    return scratch.cut(arrow_map(dealt, _linked(distance), "a long, b long").distinct())
+    return scratch.cut(arrow_map(dealt, _linked(distance), "a long, b long").distinct(), few=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp long, component_id): the smallest doc_id reachable over links."""
     with Scratch(docs.sparkSession) as scratch:
         prints = scratch.cut(fingerprints(docs, words))
-        classes = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        classes = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), few=True)
         roots = components(links(classes.select("fp"), scratch, distance), scratch)
         rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = scratch.cut(rooted.join(least, "root").select("fp", "component_id"))
+        named = scratch.cut(rooted.join(least, "root").select("fp", "component_id"), few=True)
         scratch.keep(prints)
         scratch.keep(named)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -152,14 +152,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
     """The documents with the smallest doc_id of their group, whole rows; a document is its doc_id."""
     found = near_duplicates(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = found.select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    stays = found.select("doc_id").distinct().hint("shuffle_hash")
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fewer_files(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = 4, distance: int = 4) -> list[tuple[int, str, int]]:
