@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import re
-
-# Two spaces together, a space other than " " and "\n", or one at either end: such texts are not cut.
-UNEVEN = re.compile(r"\s\s|^\s|\s$|[^\S \n]|[\x1c-\x1f\x85]")
-
 
 def cut(text: str) -> list[str]:
     """Parts whose tokens, joined, are the text's, under the public split patterns.
 
-    Where every space stands alone between other characters, a blank belongs to what follows and a line feed is a
-    match of its own; so the text may be cut before each blank and around each line feed. Any other text stays whole.
+    Where every space stands alone between other characters and is a blank or a line feed, a blank belongs to what follows
+    and a line feed is a match of its own; so the text may be cut before each blank and around each line feed. Any other
+    text stays whole.
     """
-    if not text:
-        return []
-    if UNEVEN.search(text):
-        return [text]
-    out = []
-    for line in text.split("\n"):
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + w for w in rest]
-        out.append("\n")
-    out.pop()
-    return out
+    words = text.split()
+    gaps = len(words) - 1
+    if gaps < 1 or len(text) - sum(map(len, words)) != gaps or text.count(" ") + text.count("\n") != gaps or "\0" in text:
+        return [text] if text else []
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
+def stem(part: str) -> tuple[str, str]:
+    """A part without a comma or full stop at its end, if a letter or digit is before it: a match ends there."""
+    return (part[:-1], part[-1]) if len(part) > 2 and part[-1] in ",." and part[-2].isalnum() else (part, "")
+
+
+def is_word(part: str) -> bool:
+    """Whether the only space, if any, is a blank in front."""
+    word = part.removeprefix(" ")
+    return word.split() == [word]

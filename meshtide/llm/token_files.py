@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshtide.llm.bpe import ship, slices
-from meshtide.llm.pieces import cut
+from meshtide.llm.pieces import cut, is_word, stem
 from meshtide.llm.shared import Scratch, arrow_map, per_worker
 
 MAGIC = b"MTTOK1\0\0"
 HEADER = "<8s6Q"
 BLOCK = 4096
 FILE_IDS = 1 << 22
-CACHED = 300_000
+CACHED = 600_000
 
 
 def width_of(n_ids: int) -> int:
@@ -50,6 +50,8 @@ def width_of(n_ids: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Bit i * bits is the lowest of id i."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:
+        return raw[:, :bits // 8].tobytes()
     return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
 
 
@@ -146,6 +148,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [cut(t) for t in texts]
@@ -153,15 +157,34 @@ class Encoder:
         if len(self.cache) + len(missing) > CACHED:
             self.cache.clear()
             missing = {p for ps in parts for p in ps}
-        missing = list(missing)
-        for at in range(0, len(missing), 10_000):
-            some = missing[at:at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        self.learn(missing)
         cache = self.cache
         return [b"".join([cache[p] for p in ps]) for ps in parts]
 
 
+    def learn(self, parts: set[str]) -> None:
+        """Put the ids of every part into the cache.
+
+        Many parts go to the tokenizer as lines of one text: a line feed is a token of its own, which no other text has,
+        so its id marks where a part ends. Parts with other spaces than a blank in front go alone.
+        """
+        split = {p: stem(p) for p in parts if is_word(p)}
+        plain = list({s for s, _ in split.values()} - self.cache.keys())
+        lines = ["\n".join(plain[i:i + 200]) for i in range(0, len(plain), 200)]
+        at = 0
+        for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.line_feed) * 4).tolist(), 4 * len(ids)]
+            for begin, end in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True):
+                self.cache[plain[at]] = data[begin:end]
+                at += 1
+        for p, (s, mark) in split.items():
+            if mark:
+                self.cache[p] = self.cache[s] + self.marks[mark]
+        for p in parts - split.keys():
+            self.cache[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def encoder(name: str) -> Encoder:
     return per_worker(("tokenizer", name), lambda: Encoder(SparkFiles.get(name)))
 
