@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshtide.llm import minhash
 from meshtide.llm.graph import components
 from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files
 
@@ -149,10 +150,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
-    """The documents with the smallest doc_id of their group, whole rows; a document is its doc_id."""
-    found = near_duplicates(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = found.select("doc_id").distinct().hint("shuffle_hash")
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The documents with the smallest doc_id of their group, whole rows; a document is its doc_id.
+
+    Groups are those of ``minhash``, of texts with a shingle similarity of at least 0.8: a distance of 4 of 64 bits
+    meets few of them, and for the distances they have, 64 bits have no blocks of usable width.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        found = minhash.groups(docs, scratch, words)
+        scratch.keep(found)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id").distinct().hint("shuffle_hash")
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from meshtide.llm import byte_repeats, graph, line_dedup, passages, simhash
+from meshtide.llm import byte_repeats, graph, line_dedup, minhash, passages, simhash
 from meshtide.llm.bloom import Filter, bit_places, shard_of
 from meshtide.llm.shared import Scratch, documents
 
@@ -107,6 +107,39 @@ def test_drop_near_duplicates_returns_whole_rows(docs):
     assert 5 in ids and 6 not in ids and ids.count(10) == 2  # rows of one doc_id stay together
 
 
+def edited(seed):
+    """Texts of one cloud of edits, of pairs just above and below 0.8, and with one shingle in most places."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randrange(1, 5)):
+            words[r.randrange(len(words))] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 120, 2):
+        words = [f"v{r.randrange(10**6)}" for _ in range(200)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:r.randrange(155, 170)]))]
+    return rows + [(200 + i, "la " * 300 + " ".join(f"u{r.randrange(10**6)}" for _ in range(100))) for i in range(5)] + [(300, None), (301, " ")]
+
+
+@pytest.mark.parametrize("tile", [minhash.TILE, 500])
+def test_near_copies_of_similarity_four_fifths_go(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
+    rows = edited(4)
+    group, pairs = minhash.brute_force(rows)
+    least = {g: min(d for (d, _), o in zip(rows, group, strict=True) if o == g) for g in group}
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert pairs > 60 and len(least) > 30 and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_near_copies_of_a_whole_small_table(spark):
+    rows = hold_rows(spark, SF)
+    group, _ = minhash.brute_force(rows)
+    least = {min(d for (d, _), o in zip(rows, group, strict=True) if o == g) for g in group}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, SF)).collect()} == least
+
+
 def test_crowded_keys_are_split(spark, monkeypatch):
     """Many fingerprints within a few bits: the tiled comparison finds the same sets."""
     r = np.random.default_rng(3)
