@@ -48,16 +48,17 @@ def at_most_twice(parts: Iterable[np.ndarray], rows: int = 1 << 20) -> Iterator[
     yield out(held)
 
 
-class Filter:
-    def __init__(self, bits: int):
-        self.bits, self.table = bits, np.zeros((SHARDS, bits // 8), np.uint8)
+def empty(bits: int) -> np.ndarray:
+    """The packed filters of all shards, ``bits`` each, as a plain array, which can be broadcast to workers without this module."""
+    return np.zeros((SHARDS, bits // 8), np.uint8)
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Whether each hash is in the filter of its shard."""
-        shard, hit = shard_of(h), np.ones(len(h), bool)
-        for place in bit_places(h, self.bits):
-            hit &= (self.table[shard, place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-        return hit
+
+def hits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash is in the filter of its shard."""
+    shard, hit = shard_of(h), np.ones(len(h), bool)
+    for place in bit_places(h, 8 * table.shape[1]):
+        hit &= (table[shard, place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+    return hit
 
 
 def _shards(bits: int, twice: bool):
@@ -88,11 +89,12 @@ def _shards(bits: int, twice: bool):
     return run
 
 
-def build(hashes: DataFrame, twice: bool, max_mb: int = 256) -> Filter:
+def build(hashes: DataFrame, twice: bool, max_mb: int = 256) -> np.ndarray:
     """The filter of the hashes (h), a stored table, that appear at all, or that appear twice or more."""
     wanted = max(10, int(10 * hashes.count() / SHARDS).bit_length())
-    made = Filter(1 << min(wanted, (max_mb * 2**23 // SHARDS).bit_length() - 1))
+    bits = 1 << min(wanted, (max_mb * 2**23 // SHARDS).bit_length() - 1)
+    made = empty(bits)
     shard = F.col("h").bitwiseAND(SHARDS - 1)
-    for shard, packed in arrow_map(hashes.repartition(shard).sortWithinPartitions(shard), _shards(made.bits, twice), "shard int, bits binary").collect():
-        made.table[shard] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    for shard, packed in arrow_map(hashes.repartition(shard).sortWithinPartitions(shard), _shards(bits, twice), "shard int, bits binary").collect():
+        made[shard] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return made

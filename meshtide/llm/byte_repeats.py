@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.llm.bloom import HASHES, at_most_twice, build
+from meshtide.llm.bloom import HASHES, at_most_twice, build, hits
 from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 from meshtide.llm.windows import MIX, anchors, mixed, segments
 
@@ -74,7 +74,7 @@ def _repeated(shipped):
             for key, same, text in zip(b["key"].to_pylist(), b["same"].to_pylist(), b["text"].to_pylist(), strict=True):
                 first, last, start = cut(text)
                 core = cores(text, start)
-                hit = shipped.value.hits(core)
+                hit = hits(shipped.value, core)
                 if not hit.any():
                     continue
                 first, last, start = first[hit], last[hit], start[hit]
@@ -186,7 +186,7 @@ def _runs(shipped, parts: int):
         for b in batches:
             for key, same, text in zip(b["key"].to_pylist(), b["same"].to_pylist(), b["text"].to_pylist(), strict=True):
                 first, last, start = cut(text)
-                hit = np.flatnonzero(shipped.value.hits(place_ids(key, same, first)))
+                hit = np.flatnonzero(hits(shipped.value, place_ids(key, same, first)))
                 if not len(hit):
                     continue
                 for s, core in zip(hit.tolist(), cores(text, start[hit]).tolist(), strict=True):

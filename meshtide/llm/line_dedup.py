@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.llm.bloom import HASHES, at_most_twice, build
+from meshtide.llm.bloom import HASHES, at_most_twice, build, hits
 from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -58,7 +58,7 @@ def _suspects(shipped, min_chars: int):
                 keys += own
                 rows += [i] * len(own)
             h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-            hit = np.flatnonzero(shipped.value.hits(h))
+            hit = np.flatnonzero(hits(shipped.value, h))
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in hit), "<i8").reshape(-1, 2)
             take = pa.array(np.array(rows, np.int64)[hit])
             yield {"doc_id": b["doc_id"].take(take), "same": b["same"].take(take), "k1": digest[:, 0].copy(), "k2": digest[:, 1].copy()}

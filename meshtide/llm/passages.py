@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshtide.llm.bloom import HASHES, at_most_twice, build
+from meshtide.llm.bloom import HASHES, at_most_twice, build, hits
 from meshtide.llm.ngrams import blocks, word_hashes
 from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 from meshtide.llm.windows import MIX, anchors, mixed
@@ -86,7 +86,7 @@ def _segments(shipped):
             keys = b["key"].to_numpy()
             for lo, hi, joined, ends in blocks(b["text"]):
                 s = cut(joined, ends)
-                hit = np.flatnonzero(shipped.value.hits(s["core"]))
+                hit = np.flatnonzero(hits(shipped.value, s["core"]))
                 yield {"core": s["core"][hit].view(np.int64), "full": s["full"][hit].view(np.int64), "key": keys[lo:hi][s["doc"][hit]],
                        "first": s["first"][hit], "n": s["n"][hit]}
 
@@ -101,7 +101,7 @@ def _windows(shipped):
             keys = b["key"].to_numpy()
             for lo, hi, joined, ends in blocks(b["text"]):
                 s = cut(joined, ends)
-                hit = np.flatnonzero(shipped.value.hits(place_ids(keys[lo:hi][s["doc"]], s["first"])))
+                hit = np.flatnonzero(hits(shipped.value, place_ids(keys[lo:hi][s["doc"]], s["first"])))
                 n = s["n"][hit]
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(s["at"][hit], n) + step

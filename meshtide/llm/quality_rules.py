@@ -108,10 +108,10 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 def judge(docs: DataFrame, rules: Rules) -> DataFrame:
     """(doc_id, the five counts, base_failed, probability or null, kept)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(rules)
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(rules))  # plain values: workers need no copy of this module
 
     def run(batches):
-        r = shipped.value
+        r = Rules(**shipped.value)
         for b in batches:
             counts = np.array([base_counts(t) for t in b["text"].to_pylist()], np.int64).reshape(-1, 5)
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import bpe, byte_repeats, conversation_trie, fingerprints, line_dedup, mixing, passages, quality_classifier, quality_rules, simhash, token_files
+from meshtide.llm import bpe, byte_repeats, collocations, conversation_trie, fingerprints, line_dedup, mixing, passages, quality_classifier, quality_rules, simhash, token_files
 from meshtide.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,13 @@ QUERIES: dict[str, Query] = {
     "op9_quality_classifier": lambda spark, sf: quality_classifier.digests(documents(spark, sf), labels(spark, sf)),
     "op10_simhash_near_dup": lambda spark, sf: simhash.digests(documents(spark, sf)),
     "op12_conversation_trie": lambda spark, sf: conversation_trie.trie(spark.read.parquet(f"{sf}/conversations.parquet")),
+    "op13_collocations": lambda spark, sf: collocations.collocations(documents(spark, sf)),
 }
 
 SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op12_conversation_trie": conversation_trie.SQL,
+    "op13_collocations": collocations.SQL,
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from meshtide.llm import byte_repeats, graph, line_dedup, minhash, passages, simhash
-from meshtide.llm.bloom import Filter, bit_places, shard_of
+from meshtide.llm.bloom import bit_places, empty, hits, shard_of
 from meshtide.llm.shared import Scratch, documents
 
 from .conftest import rows_of, same_rows
@@ -173,9 +173,9 @@ def test_components_of_a_long_path(spark):
 
 def test_filters_miss_nothing():
     h = np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64)
-    f = Filter(1 << 12)
+    f = empty(1 << 12)
     for shard in range(256):
-        own, bits = h[shard_of(h) == shard], np.zeros(f.bits, bool)
-        bits[bit_places(own, f.bits)] = True
-        f.table[shard] = np.packbits(bits)
-    assert f.hits(h).all() and f.hits(h + np.uint64(12345)).mean() < 0.2
+        own, bits = h[shard_of(h) == shard], np.zeros(1 << 12, bool)
+        bits[bit_places(own, 1 << 12)] = True
+        f[shard] = np.packbits(bits)
+    assert hits(f, h).all() and hits(f, h + np.uint64(12345)).mean() < 0.2
