@@ -332,18 +332,25 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, max_filter
 
 SQL = r"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM texts),
-places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS p FROM pieces),
-grams AS (SELECT lang, k, array_to_string(ws[p:p + k - 1], ' ') AS phrase FROM places, range(1, 6) r(k) WHERE p + k - 1 <= len(ws)),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+pieces AS (SELECT lang, row_number() OVER () AS piece, ws
+  FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM texts)),
+words AS (SELECT lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM pieces),
+places AS (SELECT lang, w AS w1, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3, lead(w, 3) OVER s AS w4, lead(w, 4) OVER s AS w5
+           FROM words WINDOW s AS (PARTITION BY piece ORDER BY p)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, 1 AS k, w1 AS phrase FROM places
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM places WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM places WHERE w3 IS NOT NULL
+        UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM places WHERE w4 IS NOT NULL
+        UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM places WHERE w5 IS NOT NULL) GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-cand AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100),
-kept AS (SELECT * FROM cand c WHERE NOT EXISTS (
-  SELECT 1 FROM cand d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
-cuts AS (SELECT c.*, t.n, cut, x.f AS l, y.f AS r, (1000::HUGEINT * a * t.n) // (x.f::HUGEINT * y.f) AS score
-         FROM kept c JOIN totals t USING (lang), range(1, 5) s(cut)
-         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ')
-         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ') WHERE cut < c.k),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+inside AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS longer FROM cand, range(1, 6) x(i), range(1, 6) y(j)
+           WHERE j > i AND j <= k AND j - i + 1 < k GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+parts AS (SELECT kept.*, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail FROM kept, range(1, 5) s(cut) WHERE cut < k),
+cuts AS (SELECT p.lang, p.phrase, a, t.n, cut, x.f AS l, y.f AS r, (1000::HUGEINT * a * t.n) // (x.f::HUGEINT * y.f) AS score
+         FROM parts p JOIN totals t ON t.lang = p.lang JOIN f x ON x.lang = p.lang AND x.phrase = head JOIN f y ON y.lang = p.lang AND y.phrase = tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM best QUALIFY rank <= 2000"""
