@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meshtide.llm import bpe, byte_repeats, collocations, conversation_trie, fingerprints, line_dedup, mixing, passages, quality_classifier, quality_rules, simhash, token_files
+from meshtide.llm import bpe, byte_repeats, collocations, conversation_trie, fingerprints, html_extraction, line_dedup, mixing, passages, quality_classifier, quality_rules, simhash, token_files
 from meshtide.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op8_passages": lambda spark, sf: passages.digests(documents(spark, sf)),
     "op9_quality_classifier": lambda spark, sf: quality_classifier.digests(documents(spark, sf), labels(spark, sf)),
     "op10_simhash_near_dup": lambda spark, sf: simhash.digests(documents(spark, sf)),
+    "op11_html_extraction": lambda spark, sf: html_extraction.main_texts(spark.read.parquet(f"{sf}/pages.parquet")),
     "op12_conversation_trie": lambda spark, sf: conversation_trie.trie(spark.read.parquet(f"{sf}/conversations.parquet")),
     "op13_collocations": lambda spark, sf: collocations.collocations(documents(spark, sf)),
 }
