@@ -9,7 +9,7 @@ from meshtide.llm.shared import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b long); nodes are connected exactly if their roots agree.
+    """(node, root) for every node of ``edges`` (a, b of one orderable type); nodes are connected exactly if their roots agree.
 
     Each round maps a node to the least of itself and its neighbours in a fresh random order and contracts the
     graph, until no edge is left; the maps are then composed from the last to the first. The order's minimum
@@ -31,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         left = after
     scratch.drop(left)
     if not maps:
-        return edges.sparkSession.createDataFrame([], "node long, root long")
+        return edges.where("false").select(F.col("a").alias("node"), F.col("b").alias("root"))
     root = maps[-1].select("node", F.col("image").alias("root"))
     for image in reversed(maps[:-1]):
         last = root.select(F.col("node").alias("image"), F.col("root").alias("far"))

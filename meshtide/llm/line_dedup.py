@@ -66,21 +66,24 @@ def _suspects(shipped, min_chars: int):
     return run
 
 
-def _rewrite(min_chars: int, fields: list[str]):
-    def run(batches):
-        for b in batches:
-            texts, lines, dropped = [], [], []
-            for text, gone in zip(b["_text"].to_pylist(), b["_gone"].to_pylist(), strict=True):
-                all_lines = text.split(b"\n")
-                kept = all_lines
-                if gone is not None:
-                    gone = {(g["k1"], g["k2"]) for g in gone}
-                    kept = [x for x, k in zip(all_lines, line_keys(text, min_chars), strict=True)
-                            if k is None or tuple(np.frombuffer(xxhash.xxh3_128_digest(k), "<i8").tolist()) not in gone]
-                texts.append(b"\n".join(kept))
-                lines.append(len(all_lines))
-                dropped.append(len(all_lines) - len(kept))
-            yield {f: b[f] for f in fields} | {"_kept": texts, "_n_lines": lines, "_n_dropped": dropped}
+def _rewrite(min_chars: int):
+    """A text and the digests of the keys it loses (null: it loses none) to its kept lines and the number of those dropped."""
+
+    @F.arrow_udf("struct<kept: binary, dropped: bigint>")
+    def run(text: pa.Array, gone: pa.Array) -> pa.Array:
+        texts, dropped = [], []
+        for t, keys in zip(text, gone, strict=True):
+            if not keys.is_valid:
+                texts.append(None)
+                dropped.append(0)
+                continue
+            lost = {(g["k1"], g["k2"]) for g in keys.as_py()}
+            lines = t.as_py().split(b"\n")
+            kept = [x for x, k in zip(lines, line_keys(t.as_py(), min_chars), strict=True)
+                    if k is None or tuple(np.frombuffer(xxhash.xxh3_128_digest(k), "<i8").tolist()) not in lost]
+            texts.append(b"\n".join(kept))
+            dropped.append(len(lines) - len(kept))
+        return pa.StructArray.from_arrays([pa.array(texts, pa.binary()), pa.array(dropped, pa.int64())], ["kept", "dropped"])
 
     return run
 
@@ -114,19 +117,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     with Scratch(docs.sparkSession) as scratch:
         gone = dropped_keys(docs, scratch, min_docs, min_chars)
         scratch.keep(gone)
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    left = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_same"), as_bytes().alias("_text"), F.struct(*rest).alias("_row"))
-    right = gone.select(F.col("doc_id").alias("_g_id"), F.col("same").alias("_g_same"), F.col("gone").alias("_gone"))
-    both = left.join(right.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_g_id")) & (F.col("_same") == F.col("_g_same")), "left")
-    row_type = left.schema["_row"].dataType.simpleString()
-    out = arrow_map(both.select("_row", "_text", "_gone"), _rewrite(min_chars, ["_row"]),
-                    f"_row {row_type}, _kept binary, _n_lines long, _n_dropped long")
-    kept = F.col("_kept").cast("string")
-    columns = {c: F.col("_row").getField(c) for c in rest} | {"text": kept, "n_lines": F.col("_n_lines"), "n_dropped": F.col("_n_dropped")}
+    left = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("own"), as_bytes().alias("bytes"))
+    met = F.col("doc.doc_id").eqNullSafe(gone["doc_id"]) & (F.col("own") == gone["same"])
+    both = left.join(gone.hint("shuffle_hash"), met, "left")
+    # rows stay in the JVM; Python sees the texts that lose lines, and nothing of the others
+    done = both.select("doc", "bytes", _rewrite(min_chars)(F.when(F.col("gone").isNotNull(), F.col("bytes")), F.col("gone")).alias("done"))
+    kept = F.coalesce("done.kept", "bytes").cast("string")
+    columns = {"text": kept, "n_lines": F.size(F.split(F.col("bytes").cast("string"), "\n", -1)).cast("long"), "n_dropped": F.col("done.dropped")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
     order = docs.columns + [c for c in ("n_lines", "n_dropped") if c not in docs.columns]
-    return out.select(*[columns[c].alias(c) for c in order])
+    return done.select(*[columns.get(c, F.col("doc").getField(c)).alias(c) for c in order])
 
 
 def digests(docs: DataFrame) -> DataFrame:

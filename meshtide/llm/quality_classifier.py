@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,26 +81,24 @@ def score_texts(texts: pa.Array, model: Model, bits: int = BITS) -> np.ndarray:
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
 
     def run(batches):
         for b in batches:
-            yield {"doc_id": b["doc_id"], "score": score_texts(b["text"], shipped.value)}
+            yield {"doc_id": b["doc_id"], "score": score_texts(b["text"], Model(*shipped.value))}
 
     return arrow_map(docs.select("doc_id", as_bytes().alias("text")), run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The whole rows that score ``least`` or more."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    """The whole rows that score ``least`` or more. Rows stay in the JVM; a task's Python sees their texts alone."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
 
-    def run(batches):
-        for b in batches:
-            text = pc.fill_null(b["_row"].field("text"), "").cast(pa.binary())
-            yield {"_row": b["_row"].filter(pa.array(score_texts(text, shipped.value) >= least))}
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(score_texts(text, Model(*shipped.value)))
 
-    packed = docs.select(F.struct(*docs.columns).alias("_row"))
-    return arrow_map(packed, run, f"_row {packed.schema['_row'].dataType.simpleString()}").select("_row.*")
+    return docs.where(score(as_bytes()) >= least)
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -151,16 +151,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The documents with the smallest doc_id of their group, whole rows; a document is its doc_id.
+    """One whole row of each group: the one with the smallest doc_id, a null one last, then with the least text hash.
 
     Groups are those of ``minhash``, of texts with a shingle similarity of at least 0.8: a distance of 4 of 64 bits
     meets few of them, and for the distances they have, 64 bits have no blocks of usable width.
     """
     with Scratch(docs.sparkSession) as scratch:
-        found = minhash.groups(docs, scratch, words)
-        scratch.keep(found)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id").distinct().hint("shuffle_hash")
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+        rows = minhash.numbered(docs, scratch)
+        found = minhash.groups(rows, scratch, words)
+        for table in (rows, found):
+            scratch.keep(table)
+    return rows.join(found.where("row = stays").hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from meshtide.llm import bpe, line_dedup, mixing, ngrams, quality_classifier, quality_rules, simhash
+from meshtide.llm import bpe, line_dedup, minhash, mixing, ngrams, quality_classifier, quality_rules
 from meshtide.llm.queries import SQL
 from meshtide.llm.shared import documents, labels
 from meshtide.llm.training import Sample
@@ -147,7 +147,8 @@ def test_reference_sql(spark, name):
     from meshtide.llm.queries import QUERIES
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     frame = QUERIES[name](spark, SF)
     wanted = con.sql(SQL[name])
     order = sorted(frame.columns)
@@ -172,8 +173,11 @@ def test_pipeline_stages_against_plain_versions(spark):
     whole = {r[0]: r[3] for r in line_dedup.brute_force([(r["doc_id"], r["text"]) for r in good])}
     sha = quality_classifier_sha
     assert {r["doc_id"]: sha(r["text"]) for r in lines} == whole and all(r["n_chars"] == len(r["text"]) for r in lines)
-    stays = {c for _, _, c in simhash.brute_force([(r["doc_id"], r["text"]) for r in lines], words=5)}
-    assert sorted(r["doc_id"] for r in near) == sorted(stays)
+    group, _ = minhash.brute_force([(r["doc_id"], r["text"]) for r in lines])
+    least: dict = {}
+    for g, r in zip(group, lines, strict=True):
+        least[g] = min(r["doc_id"], least.get(g, r["doc_id"]))
+    assert sorted(r["doc_id"] for r in near) == sorted(least.values())
     plan = {r.doc_id: r.copies for r in mixing.plan(spark.createDataFrame(near, documents(spark, sf).schema)).collect()}
     assert Counter(r["doc_id"] for r in mixed) == +Counter(plan)
     codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
