@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.bloom import HASHES, at_most_twice, build, hits
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, bounded_batches, fewer_files, skewed_join
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     """The key of every line, None where it is too short to count. ``bytes`` methods touch ASCII only."""
@@ -120,6 +120,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     left = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("own"), as_bytes().alias("bytes"))
     met = F.col("doc.doc_id").eqNullSafe(gone["doc_id"]) & (F.col("own") == gone["same"])
     both = left.join(gone.hint("shuffle_hash"), met, "left")
+    bounded_batches(docs.sparkSession)
     # rows stay in the JVM; Python sees the texts that lose lines, and nothing of the others
     done = both.select("doc", "bytes", _rewrite(min_chars)(F.when(F.col("gone").isNotNull(), F.col("bytes")), F.col("gone")).alias("done"))
     kept = F.coalesce("done.kept", "bytes").cast("string")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHARS = (3, 4)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 K = np.uint64(0x9E3779B97F4A7C15)
 MIX = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 REPEAT = np.uint64(0xA0761D6478BD642F)

@@ -98,10 +98,21 @@ def as_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session end at BATCH_BYTES, too, and not only at a number of rows: rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, pa.Array]]], Iterable[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` with columns by name on both sides; ``schema`` is DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(df.sparkSession)
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     fields = to_arrow_schema(spark_schema)
 
