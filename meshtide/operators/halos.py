@@ -1,15 +1,12 @@
 """Friends-of-friends groups, halo catalogues, mutual matching and abundances.
 
-Linking works on lattice positions.  The box is cut into cells so small that any two particles
-of one cell are linked; a cell is therefore a single graph node and its distinct positions are
-bounded by its volume in lattice levels, however many particles it holds.  Two cells are linked
-when some pair of their distinct positions is close enough, tested exactly.
+Linking is that of ``linking``: cells as graph nodes, decided by bounding boxes. Catalogues of coded particles link distinct lattice
+positions, whose distances are exact; ``raw_catalog`` links coordinates as they are.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +16,8 @@ from meshtide.functions import kspace as K
 from meshtide.functions import lattice as L
 from meshtide.operators import deposit as D
 from meshtide.operators import spectral as S
-from meshtide.operators.components import components
-from meshtide.operators.rank import percentiles
+from meshtide.operators import linking
+from meshtide.operators.rank import global_order, percentiles
 from meshtide.session import durable
 
 # Lower member-count edges of the abundance and matching tables; the last bin is open.
@@ -32,53 +29,15 @@ def particle_mass(omega_m: float, lat: Lattice) -> float:
     return RHO_CRIT * omega_m * lat.spacing**3
 
 
-def _cell_grid(lat: Lattice, b: float):
-    """(link^2 in levels, cells per side, half-space of neighbour offsets)."""
-    link = b * lat.levels / lat.n_part
-    widest = int(math.floor(math.sqrt(link * link / 3.0))) + 1
-    m = -(-lat.levels // widest)
-    narrow = lat.levels // m
-    gap = lambda o: max(abs(o) - 1, 0) * narrow + (1 if o else 0)
-    reach = 1
-    while gap(reach + 1) <= link:
-        reach += 1
-    if m < 2 * reach + 1:
-        raise ValueError("the linking length is too large for this box")
-    half = [o for o in product(range(-reach, reach + 1), repeat=3)
-            if o > (0, 0, 0) and sum(gap(v) ** 2 for v in o) <= link * link]
-    return link * link, m, half
-
-
 def fof_cells(particles: DataFrame, lat: Lattice, b: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(positions, labels): distinct lattice positions (pos, cell, n), and (cell, root)."""
-    link2, m, half = _cell_grid(lat, b)
     n = lat.levels
-    rows = L.with_lattice(particles, lat)
-    pos = L.flat(F.col("jx"), F.col("jy"), F.col("jz"), n)
-    at = {a: F.expr(f"(j{a} * {m}L) div {n}L") for a in L.AXES}
-    rows = rows.select(pos.alias("pos"), L.flat(at["x"], at["y"], at["z"], m).alias("cell"))
-    positions = durable(rows.groupBy("pos", "cell").agg(F.count(F.lit(1)).alias("n")))
-    # at most (levels per cell)^3 distinct positions in a list
-    cells = durable(positions.groupBy("cell").agg(F.collect_list("pos").alias("at")))
-    offsets = ", ".join(f"struct({x}L as x, {y}L as y, {z}L as z)" for x, y, z in half)
-    keys = cells.select("cell", F.explode(F.expr(f"array({offsets})")).alias("o"))
-    c = F.col("cell")
-    moved = [F.pmod(v + F.col(f"o.{a}"), F.lit(m)) for a, v in
-             zip("xyz", (L.div(c, m * m), L.div(c, m) % m, c % m))]
-    pairs = keys.select(F.col("cell").alias("a"), L.flat(*moved, m).alias("b"))
-    # most neighbour keys meet no particle: they drop out before the second side is attached
-    pairs = pairs.join(cells.select(F.col("cell").alias("b"), F.col("at").alias("pb")), "b")
-    pairs = pairs.join(cells.select(F.col("cell").alias("a"), F.col("at").alias("pa")), "a")
-
-    def gap(unit: int) -> str:
-        d = f"abs((p div {unit}L) % {n}L - (q div {unit}L) % {n}L)"
-        near = f"least({d}, {n}L - {d})"
-        return f"{near} * {near}"
-
-    close = f"{gap(n * n)} + {gap(n)} + {gap(1)} <= {link2!r}D"
-    linked = pairs.filter(F.expr(f"exists(pa, p -> exists(pb, q -> {close}))")).select("a", "b")
-    labels = components(cells.select(F.col("cell").alias("id")), linked)
-    return positions, labels.withColumnRenamed("id", "cell")
+    rows = L.with_lattice(particles, lat).select(L.flat(F.col("jx"), F.col("jy"), F.col("jz"), n).alias("pos"))
+    positions = durable(rows.groupBy("pos").agg(F.count(F.lit(1)).alias("n")))
+    # levels are whole numbers, so distances in levels are exact
+    levels = {a: (L.div(F.col("pos"), u) % n).cast("double") for a, u in zip("xyz", (n * n, n, 1))}
+    placed, cells = linking.linked_cells(positions.withColumns(levels), float(n), b * n / lat.n_part)
+    return placed.select("pos", "cell", "n"), cells.select("cell", "root")
 
 
 def fof_catalog(particles: DataFrame, lat: Lattice, b: float = 0.2, floor: int = 10) -> DataFrame:
@@ -105,6 +64,16 @@ def fof_catalog(particles: DataFrame, lat: Lattice, b: float = 0.2, floor: int =
     return out.select("halo_id", "n", *com)
 
 
+def raw_catalog(points: DataFrame, box: float, link: float, floor: int = 10) -> DataFrame:
+    """(halo, n, x0, y0, z0, cx, cy, cz) of groups of raw positions, numbered by decreasing count, ties by least point.
+
+    Numbers come from range partitions and their offsets; no task orders the whole catalogue.
+    """
+    found = durable(linking.groups(points, box, link, floor).drop("root").withColumn("_less", -F.col("n")))
+    ordered = global_order(found, ["_less", "x0", "y0", "z0"])
+    return ordered.select(F.col("ordinal").alias("halo"), *[c for c in found.columns if c != "_less"])
+
+
 def r200m(n, lat: Lattice):
     """Radius enclosing 200 times the mean density for a halo of n particles."""
     return F.lit(lat.spacing) * F.pow(F.lit(3.0 / (800.0 * math.pi)) * n, F.lit(1.0 / 3.0))

@@ -618,6 +618,23 @@ def recursive(ctes, body):
 _H = "select halo_id, n, " + ", ".join(f"{rd(f'c{c}', 7)} as c{c}" for c in "xyz")
 SQL["halo_fof"] = recursive([f"p as ({particles_sql('orders')})"] + fof("p", "a"), f"{_H} from h_a")
 SQL["halo_fof_lineitem"] = recursive([P] + fof("p", "a"), f"{_H} from h_a")
+_near = " + ".join(f"pow(least(abs(a.{c} - b.{c}), {BOX} - abs(a.{c} - b.{c})), 2)" for c in "xyz")
+SQL["halo_fof_raw"] = recursive([
+    f"p as ({particles_sql('lineitem', 'l_linenumber')})",
+    "q as (select " + ", ".join(f"{c} + l_linenumber * {w * 2.0**-12!r} as {c}" for c, w in zip("xyz", (1, 3, 5))) + " from p)",
+    "w as (select " + ", ".join(f"case when {c} >= {BOX} then {c} - {BOX} else {c} end as {c}" for c in "xyz") + " from q)",
+    "ps as (select row_number() over (order by x, y, z) as pos, x, y, z, count(*) as n from w group by x, y, z)",
+    "sh as (select a.i, b.i as j, c.i as k from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i), (values (-1), (0), (1)) c(i))",
+    "nb as (select p.*, " + ", ".join(f"{mod(f'floor({c} * 2)::bigint + {o}', 64)} as g{c}" for c, o in zip("xyz", "ijk")) + " from ps p, sh)",
+    f"ed as (select a.pos as a, b.pos as b from nb a join ps b on {' and '.join(f'a.g{c} = floor(b.{c} * 2)::bigint' for c in 'xyz')}"
+    f" where a.pos <> b.pos and {_near} <= {(LINK * BOX / GEO.n_part) ** 2!r})",
+    "rc(a, r) as (select distinct a, a from ed union select e.b, r.r from rc r join ed e on e.a = r.a where r.r < e.b)",
+    "lb as (select p.*, coalesce(l.root, p.pos) as root from ps p left join (select a, min(r) as root from rc group by a) l on l.a = p.pos)",
+    "ct as (select l.root, l.n, l.x, l.y, l.z, r.x as x0, r.y as y0, r.z as z0 from lb l join ps r on r.pos = l.root)",
+    "h as (select root, sum(n)::bigint as n, " + ", ".join(f"any_value({c}0) as {c}0" for c in "xyz") + ", " + ", ".join(
+        fmod(f"(any_value({c}0) + sum(n * (({c} - {c}0) - {BOX} * round_even(({c} - {c}0) / {BOX}, 0))) / sum(n))", BOX) + f" as c{c}" for c in "xyz")
+    + f" from ct group by root having sum(n) >= {FLOOR})"],
+    "select row_number() over (order by n desc, root) - 1 as halo, n, x0, y0, z0, " + ", ".join(f"{rd(f'c{c}', 7)} as c{c}" for c in "xyz") + " from h")
 _dx = moved("c", False)[0].replace(repr(DRIFT), "0.02").replace("mv as", "m2 as")
 _CATS = ENC + [_dx, "pb as (select " + ", ".join(f"j{a} * {Q!r} as {a}" for a in "xyz") + " from m2)"] + fof("p", "a") + fof("pb", "b")
 _D2 = " + ".join(f"pow((a.c{c} - b.c{c}) - 32.0 * round_even((a.c{c} - b.c{c}) / 32.0, 0), 2)" for c in "xyz")

@@ -26,6 +26,7 @@ from meshtide.operators import rank as R
 from meshtide.operators import spectral as S
 from meshtide.operators import state as ST
 from meshtide.plans import initial as IC
+from meshtide.session import durable
 from meshtide.sources.particles import particles, read_table
 
 GEO = geometry("smoke")
@@ -865,6 +866,14 @@ def halo_fof_lineitem(spark, sf):
     return rounded(catalog(spark, sf), 7, "cx", "cy", "cz")
 
 
+@query
+def halo_fof_raw(spark, sf):
+    """Groups of positions off the lattice, numbered by decreasing count."""
+    at = particles(spark, sf, "lineitem", keep=["l_linenumber"])
+    shifted = at.select(*((F.col(a) + F.col("l_linenumber") * F.lit(w * 2.0**-12)).alias(a) for a, w in zip(AXES, (1, 3, 5))))
+    return rounded(H.raw_catalog(durable(shifted), BOX, LINK * GEO.lattice.spacing, FLOOR), 7, "cx", "cy", "cz")
+
+
 @query
 def halo_match(spark, sf):
     m = H.match(catalog(spark, sf), drifted_catalog(spark, sf), GEO.lattice, 4.0)
