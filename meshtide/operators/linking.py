@@ -90,12 +90,26 @@ def _whole_groups(batches, key: str):
         yield held
 
 
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes is connected to by the edges (i, j)."""
+    top = np.arange(n)
+    while len(i):
+        least = np.minimum(top[i], top[j])
+        np.minimum.at(top, top[i], least)
+        np.minimum.at(top, top[j], least)
+        while (top[top] != top).any():
+            top = top[top]
+        left = top[i] != top[j]
+        i, j = i[left], j[left]
+    return top
+
+
 def _boxes(table: pa.Table, names: str = "") -> dict:
     return {t: np.stack([table.column(f"{names}{t}{a}").to_numpy() for a in "xyz"], axis=1) for t in ("lo", "hi")}
 
 
 def neighbour_pairs(cells: DataFrame, box: float, link: float) -> DataFrame:
-    """(a, b, linked) of cells that are linked, or that boxes leave undecided."""
+    """(a, b, linked): cells that are linked, directly or through others of their block, and cells that boxes leave undecided."""
     m, reach = cells_per_side(box, link)
     blocks = max(1, m // BLOCK)
     offsets = half_space(m, reach, box, link)
@@ -127,14 +141,24 @@ def neighbour_pairs(cells: DataFrame, box: float, link: float) -> DataFrame:
             key, cell, b = key[order], table.column("cell").to_numpy()[order], _boxes(table)
             b = {t: v[order] for t, v in b.items()}
             home = np.flatnonzero(table.column("home").to_numpy()[order])
+            sure, open_pairs = [], []
             for o in offsets:
                 want = key[home] + (o[0] * span + o[1]) * span + o[2]
                 at = np.minimum(np.searchsorted(key, want), len(key) - 1)
                 met = key[at] == want
                 i, j = home[met], at[met]
                 linked, open_ = apart({t: v[i] for t, v in b.items()}, {t: v[j] for t, v in b.items()}, box, link)
-                keep = linked | open_
-                yield pa.RecordBatch.from_arrays([pa.array(cell[i[keep]]), pa.array(cell[j[keep]]), pa.array(linked[keep])], ["a", "b", "linked"])
+                sure.append((i[linked], j[linked]))
+                open_pairs.append((i[open_], j[open_]))
+            # within the task links are one to the least of what they connect, and what they connect is no longer undecided
+            i, j = (np.concatenate([p[k] for p in sure]) for k in (0, 1))
+            top = connected(len(cell), i, j)
+            own = np.flatnonzero(top != np.arange(len(cell)))
+            x, y = (np.concatenate([p[k] for p in open_pairs]) for k in (0, 1))
+            apart_yet = top[x] != top[y]
+            x, y = x[apart_yet], y[apart_yet]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cell[top[own]], cell[x]])), pa.array(np.concatenate([cell[own], cell[y]])),
+                                              pa.array(np.arange(len(own) + len(x)) < len(own))], ["a", "b", "linked"])
 
     dealt = rows.repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a long, b long, linked boolean")
