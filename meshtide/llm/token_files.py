@@ -146,13 +146,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
 
+    def holds_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [cut(t) for t in texts]
+        # the library takes an added token's string for the token; a text that holds one goes to it whole
+        parts = [[t] if self.holds_added(t) else cut(t) for t in texts]
         missing = {p for ps in parts for p in ps if p not in self.cache}
         if len(self.cache) + len(missing) > CACHED:
             self.cache.clear()
@@ -168,7 +172,7 @@ class Encoder:
         Many parts go to the tokenizer as lines of one text: a line feed is a token of its own, which no other text has,
         so its id marks where a part ends. Parts with other spaces than a blank in front go alone.
         """
-        split = {p: stem(p) for p in parts if is_word(p)}
+        split = {p: stem(p) for p in parts if is_word(p) and not self.holds_added(p)}
         plain = list({s for s, _ in split.values()} - self.cache.keys())
         lines = ["\n".join(plain[i:i + 200]) for i in range(0, len(plain), 200)]
         at = 0

@@ -30,9 +30,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def little(ids):
@@ -115,3 +113,9 @@ def test_empty_table(name, no_docs):
     made = {"op3_token_files": lambda: token_files.digests(no_docs, VOCABULARY), "op4_fingerprints": lambda: fingerprints.compare_to_next(no_docs),
             "op6_byte_bpe": lambda: bpe.round_trip(no_docs, RANKS, P.PATTERN)}
     assert name in QUERIES and made[name]().collect() == []
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|> two, three\nfour.", "word<|endoftext|>,", "<|endoftext|><|endoftext|> x", "<|endoftext"])
+def test_added_tokens_as_the_library_takes_them(library, text):
+    own = token_files.Encoder(VOCABULARY)
+    assert own.encode([text, "plain words, too", text]) == [little(library.encode(t, add_special_tokens=False).ids) for t in (text, "plain words, too", text)]
