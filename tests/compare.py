@@ -29,7 +29,7 @@ def canonical(df):
         if df[c].dtype.kind == "f":
             df[c] = df[c].astype(float)
         elif df[c].dtype.kind in "iub":
-            df[c] = df[c].astype("int64")
+            df[c] = df[c].astype("float64" if df[c].isna().any() else "int64")
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
