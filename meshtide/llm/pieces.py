@@ -15,14 +15,3 @@ def cut(text: str) -> list[str]:
     if gaps < 1 or len(text) - sum(map(len, words)) != gaps or text.count(" ") + text.count("\n") != gaps or "\0" in text:
         return [text] if text else []
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-
-def stem(part: str) -> tuple[str, str]:
-    """A part without a comma or full stop at its end, if a letter or digit is before it: a match ends there."""
-    return (part[:-1], part[-1]) if len(part) > 2 and part[-1] in ",." and part[-2].isalnum() else (part, "")
-
-
-def is_word(part: str) -> bool:
-    """Whether the only space, if any, is a blank in front."""
-    word = part.removeprefix(" ")
-    return word.split() == [word]

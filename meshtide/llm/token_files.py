@@ -13,13 +13,14 @@ The writer range-partitions by doc_id, and each task streams its documents in or
 writes under a name of its own attempt and reports the names; what a lost attempt left is in no report and is not read.
 
 Defined cases: a null or empty text has the end id alone. Null doc_ids come first; rows of equal doc_id stand in the
-order of their texts. Special tokens' strings in a text are ordinary text. Input columns other than doc_id and text are
+order of their texts. An added token's string in a text is that token, as in the library's call. Input columns other than doc_id and text are
 ignored. An empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,19 +28,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshtide.llm.bpe import ship, slices
-from meshtide.llm.pieces import cut, is_word, stem
+from meshtide.llm.bpe import ship
 from meshtide.llm.shared import Scratch, arrow_map, per_worker
 
 MAGIC = b"MTTOK1\0\0"
 HEADER = "<8s6Q"
 BLOCK = 4096
 FILE_IDS = 1 << 22
-CACHED = 600_000
+CACHED = 1_000_000
+LINES = 200
+# texts not to be cut: a NUL, spaces other than single blanks and line feeds between words
+ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def width_of(n_ids: int) -> int:
@@ -139,54 +144,79 @@ def crc32(ids: np.ndarray) -> int:
 
 
 class Encoder:
-    """A tokenizer with a bounded cache of parts that no token crosses."""
+    """A tokenizer with a bounded cache of parts that no token crosses.
+
+    A batch of texts is cut and looked up by Arrow kernels; only distinct new parts are tokenized, and no part becomes a
+    Python string of its own. The ids of all texts are then one gather from the cache.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        # the library takes an added token's string for the token; a text that holds one goes to it whole, as one with other spaces
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD, *map(re.escape, added)])
         self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
+        self.forget()
 
-    def holds_added(self, text: str) -> bool:
-        return any(a in text for a in self.added)
+    def forget(self) -> None:
+        self.parts = pa.array(["", "\n"], pa.large_string())
+        self.ids = pa.array([[], [self.line_feed]], pa.large_list(pa.uint32()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the library takes an added token's string for the token; a text that holds one goes to it whole
-        parts = [[t] if self.holds_added(t) else cut(t) for t in texts]
-        missing = {p for ps in parts for p in ps if p not in self.cache}
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-            missing = {p for ps in parts for p in ps}
-        self.learn(missing)
-        cache = self.cache
-        return [b"".join([cache[p] for p in ps]) for ps in parts]
-
-
-    def learn(self, parts: set[str]) -> None:
-        """Put the ids of every part into the cache.
-
-        Many parts go to the tokenizer as lines of one text: a line feed is a token of its own, which no other text has,
-        so its id marks where a part ends. Parts with other spaces than a blank in front go alone.
+        ids, lengths = self.encode_all(pa.array(texts, pa.string()))
+        ends = np.cumsum(lengths)
+        return [ids[a:b].tobytes() for a, b in zip(ends - lengths, ends, strict=True)]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, self.odd)
+        # a blank belongs to what follows it and a line feed is a match of its own, so texts are cut before blanks and around line feeds
+        marked = pc.replace_substring(pc.if_else(odd, "", texts), "\n", "\0\n\0")
+        parts = pc.split_pattern(pc.replace_substring(marked, " ", "\0 "), "\0")
+        first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        number, held = self.numbers(parts.flatten()).to_numpy(), self.ids
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(at):
+            whole = [self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in at.tolist()]
+            number = number.copy()
+            number[first[at]] = np.arange(len(held), len(held) + len(at))
+            held = pa.concat_arrays([held, pa.array(whole, held.type)])
+        found = held.take(pa.array(number))
+        return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy()[first])
+
+    def numbers(self, parts: pa.Array) -> pa.Array:
+        """Places in the cache of parts of texts without odd spaces; new parts are learnt."""
+        number = pc.index_in(parts, self.parts)
+        if number.null_count:
+            new = parts.filter(number.is_null()).unique()
+            if len(self.parts) + len(new) > CACHED:
+                self.forget()
+                new = parts.unique()
+                new = new.filter(pc.index_in(new, self.parts).is_null())
+            self.learn(new)
+            number = pc.index_in(parts, self.parts)
+        return number
+
+    def learn(self, new: pa.Array) -> None:
+        """Put the ids of new distinct parts into the cache.
+
+        Many parts go to the tokenizer as lines of one text: a line feed is a token of its own, which no other part has,
+        so its id marks where a part ends.
         """
-        split = {p: stem(p) for p in parts if is_word(p) and not self.holds_added(p)}
-        plain = list({s for s, _ in split.values()} - self.cache.keys())
-        lines = ["\n".join(plain[i:i + 200]) for i in range(0, len(plain), 200)]
-        at = 0
+        starts = pa.array([*range(0, len(new), LINES), len(new)], pa.int64())
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(starts, new).cast(pa.list_(pa.large_string())), pa.scalar("\n", pa.large_string())).to_pylist()
+        found = []
         for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            data, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.line_feed) * 4).tolist(), 4 * len(ids)]
-            for begin, end in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True):
-                self.cache[plain[at]] = data[begin:end]
-                at += 1
-        for p, (s, mark) in split.items():
-            if mark:
-                self.cache[p] = self.cache[s] + self.marks[mark]
-        for p in parts - split.keys():
-            self.cache[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            found += [np.array(e.ids, np.uint32), np.array([self.line_feed], np.uint32)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        ends = np.flatnonzero(ids == self.line_feed)
+        offsets = np.concatenate([[0], ends - np.arange(len(ends))])
+        learnt = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids[ids != self.line_feed]))
+        self.parts, self.ids = pa.concat_arrays([self.parts, new]), pa.concat_arrays([self.ids, learnt])
 
 
 def encoder(name: str) -> Encoder:
@@ -198,14 +228,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
     from tokenizers import Tokenizer
 
     name, bits = ship(docs, path), width_of(max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         own, part, number = encoder(name), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held = [], [], []
 
         def flush():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             out = {"name": [write_bytes(folder, pack_file(doc_ids, lengths, ids, bits, part, number))], "part": [part], "number": [number], "n_ids": [len(ids)]}
             for x in (doc_ids, lengths, held):
                 x.clear()
@@ -213,16 +242,14 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
 
         size = 0
         for b in batches:
-            at = iter(b["doc_id"].to_pylist())
-            for texts in slices(b["text"].to_pylist()):
-                for ids in own.encode(texts):
-                    doc_ids.append(next(at))
-                    held.append(ids + end)
-                    lengths.append(len(held[-1]) // 4)
-                    size += lengths[-1]
-                if size >= FILE_IDS:
-                    yield flush()
-                    number, size = number + 1, 0
+            ids, n = own.encode_all(b["text"])
+            doc_ids += b["doc_id"].to_pylist()
+            lengths += (n + 1).tolist()
+            held.append(np.insert(ids, np.cumsum(n), end_id))
+            size += len(held[-1])
+            if size >= FILE_IDS:
+                yield flush()
+                number, size = number + 1, 0
         if doc_ids:
             yield flush()
 
