@@ -92,6 +92,22 @@ def test_newton_field_is_antisymmetric_and_inverse_square(spark):
     assert np.allclose(e.ex.sum(), 0.0, atol=1e-12) and abs(e.ex.max() - 4.0) < 0.01
 
 
+def test_newton_field_does_not_depend_on_its_screening_or_on_the_period(spark):
+    pts = frame(spark, np.random.default_rng(5).uniform(-BOX, BOX, (50, 3))).select("x", "y", "z")
+    once = np.array(FO.newton_field(pts, BOX).select("ex", "ey", "ez").collect())
+    for screening in (1.5, 4.0):
+        assert np.allclose(np.array(FO.newton_field(pts, BOX, screening).select("ex", "ey", "ez").collect()), once, rtol=1e-11, atol=1e-13)
+    moved = pts.selectExpr(f"x + {BOX} as x", f"y - {2 * BOX} as y", "z")
+    assert np.allclose(np.array(FO.newton_field(moved, BOX).select("ex", "ey", "ez").collect()), once, rtol=1e-10, atol=1e-12)
+
+
+def test_shells_hold_every_vector_once():
+    whole, half = np.concatenate(FO.shells(3.5)), np.concatenate(FO.shells(3.5, half=True))
+    both = sorted(map(tuple, np.concatenate([half, -half, [[0, 0, 0]]])))
+    assert both == sorted(map(tuple, whole)) and len(set(both)) == len(both)
+    assert len(whole) == sum(i * i + j * j + k * k <= 12 for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4))
+
+
 def test_white_noise_and_colour(spark):
     n, cosmo = 16, Cosmology()
     a = pencil_cube(white_noise(spark, n, 3), "white", n)
