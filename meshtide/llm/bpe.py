@@ -229,6 +229,18 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return arrow_map(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids binary")
 
 
+def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded binary) of rows as ``encode`` returns them; null ids decode to no bytes, an unknown id raises."""
+    name = ship(ids, path)
+
+    def run(batches):
+        own = codec(name, pattern)
+        for b in batches:
+            yield {"doc_id": b["doc_id"], "ids": b["ids"], "decoded": [own.decode(x or b"") for x in b["ids"].to_pylist()]}
+
+    return arrow_map(ids.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, and decodes what it encoded, in one pass."""
     name = ship(docs, path)

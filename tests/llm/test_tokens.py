@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meshtide.llm import bpe, fingerprints, token_files
@@ -46,6 +47,15 @@ def test_bpe_of_awkward_rows(docs, awkward, reference):
     assert {r.ids for r in bpe.encode(docs, RANKS, P.PATTERN).collect()} == {bytes(little(reference.encode_ordinary(t or ""))) for _, t in awkward}
 
 
+def test_decode_gives_the_texts_back(docs, awkward, no_docs):
+    ids = bpe.encode(docs, RANKS, P.PATTERN)
+    found = bpe.decode(ids.withColumn("text", F.lit("not read")), RANKS, P.PATTERN)
+    same_rows(found.select("doc_id", F.col("decoded").cast("string")), [(d, t or "") for d, t in awkward])
+    assert {(r.doc_id, r.ids) for r in found.collect()} == {(r.doc_id, r.ids) for r in ids.collect()}
+    assert [bytes(r.decoded) for r in bpe.decode(ids.limit(1).withColumn("ids", F.lit(None).cast("binary")), RANKS, P.PATTERN).collect()] == [b""]
+    assert bpe.decode(bpe.encode(no_docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect() == []
+
+
 def test_bpe_of_random_texts(reference):
     codec, r = bpe.Codec(RANKS, P.PATTERN), random.Random(4)
     texts = ["".join(r.choice(LETTERS) for _ in range(r.randrange(40))) for _ in range(3000)]
