@@ -87,7 +87,7 @@ SQL["velocity_codes_global"] = sql(
 SQL["velocity_codes"] = sql(ENC, f"select {CODES} from c")
 SQL["velocity_decode"] = sql(ENC, "select brick, " + ", ".join(f"{rd(f'w_{a} * vel_scale', 9)} as v{a}" for a in "xyz") + " from c")
 SQL["decode_bricks"] = sql(ENC, "select brick, " + ", ".join(f"j{a} * {Q!r} as {a}" for a in "xyz")
-                           + f", {rd('w_x * vel_scale', 9)} as vx from c where brick in (0, 73, 146, 219, 292, 365, 438, 511)")
+                           + f", {rd('w_x * vel_scale', 9)} as vx from c")
 SQL["rescale_codes"] = sql(ENC + ["t as (select max(vel_scale) as top from sc)"], "select brick, "
                            + ", ".join(f"{rint(f'w_{a} * (vel_scale / top)')} as w_{a}" for a in "xyz") + " from c, t")
 SQL["reconcile_velocity_scale"] = sql(ENC, "select max(vel_scale) as vel_scale from sc")
@@ -127,7 +127,7 @@ _TB = ("bc as (select brick, n, brick // 64 as ux, brick // 8 % 8 as uy, brick %
 SQL["tile_membership"] = sql(ENC + [_TB], "select * from tb")
 SQL["tile_members"] = sql(ENC + [_TB], "select tile, sum(n)::bigint as members, sum(case when owned then n else 0 end)::bigint as owned, count(*) as bricks from tb group by all")
 SQL["ownership_partition"] = sql(ENC, "select brick // 64 // 2 as tx, brick // 8 % 8 // 2 as ty, brick % 8 // 2 as tz, count(*) as owned from c group by all")
-SQL["partition_diagnosis"] = sql(ENC + [_TB], "select brick, count(tile)::bigint as claims from sc left join (select tile, brick from tb where tile < 16) q using (brick) group by all having count(tile) <> 1")
+SQL["partition_diagnosis"] = sql(ENC + [_TB], "select brick, count(tile)::bigint as claims from sc left join (select tile, brick from tb) q using (brick) group by all having count(tile) <> 1")
 _EV = f"p as ({particles_sql('events', 'event_id as id')})"
 SQL["placement_check"] = sql(
     [_EV, lattice("p"), keyed("lat"), "m as (select * replace (case when id % 10 = 0 then (jx + 1) % 4096 else jx end as jx) from lat)",

@@ -153,7 +153,7 @@ def velocity_decode(spark, sf):
 
 @query
 def decode_bricks(spark, sf):
-    d = ST.decode_bricks(*coded_lines(spark, sf), GEO, [0, 73, 146, 219, 292, 365, 438, 511])
+    d = ST.decode_bricks(*coded_lines(spark, sf), GEO, list(range(GEO.bricks**3)))
     return rounded(d.select("brick", "x", "y", "z", "vx"), 9, "vx")
 
 
@@ -295,10 +295,9 @@ def ownership_partition(spark, sf):
 
 @query
 def partition_diagnosis(spark, sf):
-    """Bricks no padded tile of the first tile plane claims (0), or several do."""
+    """Bricks that no padded tile claims (0), or several do: with buffers, all tiles beside a brick."""
     n = ST.occupancy(coded_lines(spark, sf)[0], "brick")
-    claims = ST.tile_bricks(n, GEO).filter(F.col("tile") < GEO.tiles**2)
-    return ST.diagnose_partition(claims, n, "brick")
+    return ST.diagnose_partition(ST.tile_bricks(n, GEO), n, "brick")
 
 
 @query
