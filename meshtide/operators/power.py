@@ -402,3 +402,13 @@ def lattice_shells(edges_kf, n: int, spark) -> DataFrame:
     rows = grid.select(index.cast("long").alias("bin"), n2.alias("n2"))
     rows = rows.filter((F.col("bin") >= 0) & (F.col("bin") < len(edges) - 1) & (F.col("n2") > 0))
     return rows.groupBy("bin", "n2").agg(F.count(F.lit(1)).alias("modes"))
+
+
+def verified_shells(shells: DataFrame, card: DataFrame) -> DataFrame:
+    """The shells (bin, n2, modes) of the card's bins; a bin whose shells do not hold the card's n_modes raises."""
+    held = shells.groupBy("bin").agg(F.sum("modes").cast("double").alias("held"))
+    both = card.select("bin", "n_modes").join(held, "bin", "left")
+    refusal = F.raise_error(F.concat(F.lit("the card and its shells differ in bin "), F.col("bin").cast("string"))).cast("boolean")
+    agree = F.coalesce("held", F.lit(0.0)) == F.col("n_modes")
+    sound = both.select("bin", F.when(agree, True).otherwise(refusal).alias("sound")).where("sound")
+    return shells.join(sound, "bin").drop("sound")

@@ -424,6 +424,8 @@ _shot = f"({BOX**3!r} / any_value(m))"
 SQL["pk_card"] = sql(_CARD, f"select bin, {rd('sum(k * w) / sum(w)', 8)} as k_mean, {rd(f'sum((raw / w2 - {BOX**3!r} / m) * w) / sum(w)', 6)} as p, sum(w) as n_modes,"
                      f" {rd('sum(w2 * w) / sum(w)', 8)} as window_correction, {rd(f'{_shot} / (sum(raw * w) / sum(w))', 6)} as shot_fraction"
                      f" from cb where bin between 0 and {len(EDGES) - 2} group by bin having sum(w) > 20")
+SQL["card_shells_verified"] = sql(_CARD, f"select bin, n2, sum(w)::bigint as modes from (select *, cast(round(pow(k / {KF!r}, 2), 0) as bigint) as n2 from cb)"
+                                  f" where bin between 0 and {len(EDGES) - 3} group by bin, n2 qualify sum(sum(w)) over (partition by bin) > 20")  # bins of the card
 SQL["card_bin_shells"] = sql(_CARD, f"select bin, n2::bigint as n2, sum(w) as modes, {rd(f'sum(w * raw) / {_NORM!r}', 4)} as power from (select *, cast(round(pow(k / {KF!r}, 2), 0) as bigint) as n2 from cb)"
                              " where bin between 0 and 5 group by bin, n2")
 _ph = f"({BOX / N / 2!r} * (wx + wy + wz))"

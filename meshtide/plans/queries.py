@@ -664,6 +664,13 @@ def card_bin_shells(spark, sf):
                                          rd(F.sum(F.col("w") * F.col("p")) * F.lit(s * s), 4).alias("power"))
 
 
+@query
+def card_shells_verified(spark, sf):
+    """The lattice shells of the measured card's bins, refused where the card averages over other modes."""
+    edges = [e / KF for e in EDGES[:-1]]  # the last bin reaches the Nyquist planes
+    return P.verified_shells(P.lattice_shells(edges, N, spark), card(spark, sf).where(F.col("bin") < len(edges) - 1))
+
+
 @query
 def interlaced_pk(spark, sf):
     return rounded(P.interlaced_pk(lines(spark, sf), N, BOX, total(spark, sf)), 6, "k", "p", "p_raw")

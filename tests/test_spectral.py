@@ -245,6 +245,17 @@ def test_lattice_shells(spark):
         P.lattice_shells([0.5, 9.5], 16, spark)
 
 
+def test_shells_are_refused_where_the_card_has_other_modes(spark):
+    shells = P.lattice_shells([0.5, 1.5, 2.5], 16, spark)
+    card = lambda *rows: spark.createDataFrame(rows, "bin long, n_modes double")
+    own = {r.bin: float(r.n) for r in shells.groupBy("bin").agg(F.sum("modes").alias("n")).collect()}
+    assert sorted(P.verified_shells(shells, card((0, own[0]), (1, own[1]))).collect()) == sorted(shells.select("bin", "n2", "modes").collect())
+    assert {r.bin for r in P.verified_shells(shells, card((1, own[1]))).collect()} == {1}
+    for wrong in ([(0, own[0] + 2.0)], [(0, own[0]), (7, 30.0)]):
+        with pytest.raises(Exception, match="the card and its shells differ in bin"):
+            P.verified_shells(shells, card(*wrong)).collect()
+
+
 def test_dense_helper(spark):
     assert dense(mesh_frame(spark, np.ones((2, 2, 2))), 2).sum() == 8
 
