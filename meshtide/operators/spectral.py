@@ -5,6 +5,9 @@ ky, and a complex transform along x of each ky-plane.  The inverse mirrors it.
 multiplies its kernels inside the ky stage and goes straight back, so it costs two shuffles of
 the mesh.  Every group is one plane (n^2 values), whatever the number of particles; empty planes
 and cells are zeros.
+
+Many meshes of one side (tiles, sub-volumes) transform together: ``by`` names the integer columns
+that tell them apart, which join every grouping key, so a task still holds one plane of one mesh.
 """
 
 from __future__ import annotations
@@ -31,8 +34,17 @@ def block_of(column, width: int) -> np.ndarray:
     return np.asarray(c.flatten()).reshape(len(c), width)
 
 
-def _table(n, key, index, key_values, index_values, arrays) -> pa.Table:
-    cols = {key: pa.array(key_values, pa.int64()), index: pa.array(index_values, pa.int64())}
+def _tags(table: pa.Table, by, rows: int) -> dict:
+    """The mesh's own key, repeated on every row."""
+    return {c: pa.array(np.full(rows, table.column(c)[0].as_py()), pa.int64()) for c in by}
+
+
+def _longs(*names: str) -> str:
+    return ", ".join(f"{c} long" for c in names)
+
+
+def _table(tags, key, index, key_values, index_values, arrays) -> pa.Table:
+    cols = {**tags, key: pa.array(key_values, pa.int64()), index: pa.array(index_values, pa.int64())}
     for name, a in arrays.items():
         cols[f"{name}_re"], cols[f"{name}_im"] = lists(a.real), lists(a.imag)
     return pa.table(cols)
@@ -45,7 +57,7 @@ def _read(table: pa.Table, index: str, name: str, n: int, width: int) -> np.ndar
     return out
 
 
-def _planes_from_cells(mesh: DataFrame, fields: list[str], n: int) -> DataFrame:
+def _planes_from_cells(mesh: DataFrame, fields: list[str], n: int, by=()) -> DataFrame:
     """x-planes of cell rows (ix, iy, iz, *fields) -> (ky, ix, half-grid rows)."""
 
     def fn(table: pa.Table) -> pa.Table:
@@ -56,14 +68,14 @@ def _planes_from_cells(mesh: DataFrame, fields: list[str], n: int) -> DataFrame:
             plane = np.zeros((n, n))
             plane[iy, iz] = table.column(f).to_numpy()
             out[f] = np.fft.rfft2(plane)
-        return _table(n, "ky", "ix", np.arange(n), np.full(n, ix), out)
+        return _table(_tags(table, by, n), "ky", "ix", np.arange(n), np.full(n, ix), out)
 
     cols = [F.col(c).cast("long") for c in ("ix", "iy", "iz")]
-    rows = mesh.select(*cols, *(F.col(f).cast("double") for f in fields))
-    return rows.groupBy("ix").applyInArrow(fn, f"ky long, ix long, {_arr(fields)}")
+    rows = mesh.select(*by, *cols, *(F.col(f).cast("double") for f in fields))
+    return rows.groupBy(*by, "ix").applyInArrow(fn, f"{_longs(*by, 'ky', 'ix')}, {_arr(fields)}")
 
 
-def _planes_from_pencils(mesh: DataFrame, fields: list[str], n: int) -> DataFrame:
+def _planes_from_pencils(mesh: DataFrame, fields: list[str], n: int, by=()) -> DataFrame:
     """x-planes of pencil rows (ix, iy, array fields) -> (ky, ix, half-grid rows)."""
 
     def fn(table: pa.Table) -> pa.Table:
@@ -73,16 +85,16 @@ def _planes_from_pencils(mesh: DataFrame, fields: list[str], n: int) -> DataFram
             plane = np.zeros((n, n))
             plane[table.column("iy").to_numpy()] = block_of(table.column(f), n)
             out[f] = np.fft.rfft2(plane)
-        return _table(n, "ky", "ix", np.arange(n), np.full(n, ix), out)
+        return _table(_tags(table, by, n), "ky", "ix", np.arange(n), np.full(n, ix), out)
 
-    rows = mesh.select(F.col("ix").cast("long"), F.col("iy").cast("long"), *fields)
-    return rows.groupBy("ix").applyInArrow(fn, f"ky long, ix long, {_arr(fields)}")
+    rows = mesh.select(*by, F.col("ix").cast("long"), F.col("iy").cast("long"), *fields)
+    return rows.groupBy(*by, "ix").applyInArrow(fn, f"{_longs(*by, 'ky', 'ix')}, {_arr(fields)}")
 
 
-def planes(mesh: DataFrame, fields: list[str], n: int) -> DataFrame:
+def planes(mesh: DataFrame, fields: list[str], n: int, by=()) -> DataFrame:
     """First half of the forward transform, from cell rows or pencil rows."""
     make = _planes_from_cells if "iz" in mesh.columns else _planes_from_pencils
-    return make(mesh, fields, n)
+    return make(mesh, fields, n, by)
 
 
 def spectrum(mesh: DataFrame, fields: list[str] | str, n: int) -> DataFrame:
@@ -93,21 +105,26 @@ def spectrum(mesh: DataFrame, fields: list[str] | str, n: int) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         ky = table.column("ky")[0].as_py()
         out = {f: np.fft.fft(_read(table, "ix", f, n, nh), axis=0) for f in fields}
-        return _table(n, "ky", "kx", np.full(n, ky), np.arange(n), out)
+        return _table({}, "ky", "kx", np.full(n, ky), np.arange(n), out)
 
     half = planes(mesh, fields, n)
     return half.groupBy("ky").applyInArrow(fn, f"ky long, kx long, {_arr(fields)}")
 
 
-def ky_map(mesh: DataFrame, fields: list[str], n: int, fn, schema: str) -> DataFrame:
-    """Reduce each ky-plane of modes inside its task: fn(ky, [modes (n, n//2+1)]) -> pa.Table."""
+def ky_map(mesh: DataFrame, fields: list[str], n: int, fn, schema: str, by=()) -> DataFrame:
+    """Reduce each ky-plane of modes inside its task: fn(ky, [modes (n, n//2+1)]) -> pa.Table.
+
+    The ``by`` columns go before those of ``schema``.
+    """
     nh = n // 2 + 1
 
     def task(table: pa.Table) -> pa.Table:
         ky = table.column("ky")[0].as_py()
-        return fn(ky, [np.fft.fft(_read(table, "ix", f, n, nh), axis=0) for f in fields])
+        got = fn(ky, [np.fft.fft(_read(table, "ix", f, n, nh), axis=0) for f in fields])
+        return pa.table({**_tags(table, by, got.num_rows), **{c: got.column(c) for c in got.column_names}})
 
-    return planes(mesh, fields, n).groupBy("ky").applyInArrow(task, schema)
+    schema = ", ".join([_longs(*by), schema]) if by else schema
+    return planes(mesh, fields, n, by).groupBy(*by, "ky").applyInArrow(task, schema)
 
 
 def modes(spec: DataFrame, fields: list[str] | str) -> DataFrame:
@@ -119,22 +136,22 @@ def modes(spec: DataFrame, fields: list[str] | str) -> DataFrame:
                          *(F.col(f"m.{a}").alias(a) for a in arrays))
 
 
-def _inverse(back: DataFrame, names: list[str], n: int) -> DataFrame:
+def _inverse(back: DataFrame, names: list[str], n: int, by=()) -> DataFrame:
     nh = n // 2 + 1
 
     def fn(table: pa.Table) -> pa.Table:
         ix = table.column("ix")[0].as_py()
-        cols = {"ix": pa.array(np.full(n, ix), pa.int64()), "iy": pa.array(np.arange(n), pa.int64())}
+        cols = {**_tags(table, by, n), "ix": pa.array(np.full(n, ix), pa.int64()), "iy": pa.array(np.arange(n), pa.int64())}
         for f in names:
             cols[f] = lists(np.fft.irfft2(_read(table, "ky", f, n, nh), s=(n, n)))
         return pa.table(cols)
 
-    schema = "ix long, iy long, " + ", ".join(f"{f} array<double>" for f in names)
-    return back.groupBy("ix").applyInArrow(fn, schema)
+    schema = ", ".join([_longs(*by, "ix", "iy"), *(f"{f} array<double>" for f in names)])
+    return back.groupBy(*by, "ix").applyInArrow(fn, schema)
 
 
-def solve(mesh: DataFrame, fields: list[str] | str, n: int, kernel, names: list[str]) -> DataFrame:
-    """Forward, multiply, inverse: pencil rows (ix, iy, {name}[]) for every output name.
+def solve(mesh: DataFrame, fields: list[str] | str, n: int, kernel, names: list[str], by=()) -> DataFrame:
+    """Forward, multiply, inverse: pencil rows (*by, ix, iy, {name}[]) for every output name.
 
     ``kernel(ky, [field modes])`` returns {name: modes} for the ky-plane of shape (n, n//2+1).
     """
@@ -145,11 +162,11 @@ def solve(mesh: DataFrame, fields: list[str] | str, n: int, kernel, names: list[
         ky = table.column("ky")[0].as_py()
         got = kernel(ky, [np.fft.fft(_read(table, "ix", f, n, nh), axis=0) for f in fields])
         out = {name: np.fft.ifft(got[name], axis=0) for name in names}
-        return _table(n, "ix", "ky", np.arange(n), np.full(n, ky), out)
+        return _table(_tags(table, by, n), "ix", "ky", np.arange(n), np.full(n, ky), out)
 
-    half = planes(mesh, fields, n)
-    back = half.groupBy("ky").applyInArrow(fn, f"ix long, ky long, {_arr(names)}")
-    return _inverse(back, names, n)
+    half = planes(mesh, fields, n, by)
+    back = half.groupBy(*by, "ky").applyInArrow(fn, f"{_longs(*by, 'ix', 'ky')}, {_arr(names)}")
+    return _inverse(back, names, n, by)
 
 
 def inverse(spec: DataFrame, fields: list[str] | str, n: int) -> DataFrame:
@@ -160,7 +177,7 @@ def inverse(spec: DataFrame, fields: list[str] | str, n: int) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         ky = table.column("ky")[0].as_py()
         out = {f: np.fft.ifft(_read(table, "kx", f, n, nh), axis=0) for f in fields}
-        return _table(n, "ix", "ky", np.arange(n), np.full(n, ky), out)
+        return _table({}, "ix", "ky", np.arange(n), np.full(n, ky), out)
 
     back = spec.groupBy("ky").applyInArrow(fn, f"ix long, ky long, {_arr(fields)}")
     return _inverse(back, fields, n)

@@ -220,16 +220,16 @@ SQL["displaced_paint"] = sql(
     + mesh("mv", "cic", N), CELLS)
 _tl = lambda a: mod(f"c{a} - (t{a} * 16 - 8)", 64)
 _w8 = " * ".join(f"({weight(a, 'cic', o)})" for a, o in zip("xyz", "ijk"))
-SQL["tile_paint_int"] = sql([
-    P, offsets("cic"), stencil("p", "cic", 64),
+TILES = [
+    offsets("cic"), stencil("p", "cic", 64),
     "tl as (select t as tile, t // 16 as tx, t // 4 % 4 as ty, t % 4 as tz from range(64) r(t))",
     f"lo as (select tile, dx, dy, dz, {_tl('x')} as lx, {_tl('y')} as ly, {_tl('z')} as lz from st, tl where {_tl('x')} < 32 and {_tl('y')} < 32 and {_tl('z')} < 32)",
     f"co as (select tile, (lx + i) % 32 as ix, (ly + j) % 32 as iy, (lz + k) % 32 as iz, (lx + (dx >= 0.5)::int) % 32 as nx,"
     f" (ly + (dy >= 0.5)::int) % 32 as ny, (lz + (dz >= 0.5)::int) % 32 as nz, round_even(cast(cast({_w8} as float) as double) * 4096.0, 0)::bigint as q"
     " from lo, off_cic where not (i = (dx >= 0.5)::int and j = (dy >= 0.5)::int and k = (dz >= 0.5)::int))",
     "dl as (select tile, ix, iy, iz, q from co union all select tile, nx, ny, nz, -q from co union all"
-    " select tile, (lx + (dx >= 0.5)::int) % 32, (ly + (dy >= 0.5)::int) % 32, (lz + (dz >= 0.5)::int) % 32, 4096 from lo)"],
-    "select tile, ix, iy, iz, sum(q)::bigint as q from dl group by all")
+    " select tile, (lx + (dx >= 0.5)::int) % 32, (ly + (dy >= 0.5)::int) % 32, (lz + (dz >= 0.5)::int) % 32, 4096 from lo)"]
+SQL["tile_paint_int"] = sql([P] + TILES, "select tile, ix, iy, iz, sum(q)::bigint as q from dl group by all")
 
 
 # ---- gathers ----
@@ -279,10 +279,42 @@ def ifft(src: str, vals: list[str], out: str, n: int = N) -> list[str]:
             f"{out} as (select ix, iy, iz, {z} from {out}_y, range({n}) r(iz) group by all)"]
 
 
-def waves(src: str, out: str, n: int = N) -> str:
+def turns(n: int) -> str:
+    """Rows of cosines and sines of an n-point transform, as lists."""
+    return (f"tw{n} as (select k, list(cos(2 * pi() * (k * i % {n}) / {n}.0) order by i) as c, list(sin(2 * pi() * (k * i % {n}) / {n}.0) order by i) as s"
+            f" from range({n}) a(k), range({n}) b(i) group by k)")
+
+
+def _turned(src: str, axis: str, at: str, rest: str, vals: list[str], out: str, sign: str, n: int) -> list[str]:
+    """One axis of complex values, a list dot product per output: ``axis`` goes, ``at`` comes."""
+    other = "-" if sign == "+" else "+"
+    packed = ", ".join(f"list({v}_{p} order by {axis}) as {v}_{p}" for v in vals for p in ("re", "im"))
+    dot = lambda v, t: f"list_dot_product({v}, {t})"
+    turned = ", ".join(f"{dot(f'{v}_re', 'c')} {sign} {dot(f'{v}_im', 's')} as {v}_re, {dot(f'{v}_im', 'c')} {other} {dot(f'{v}_re', 's')} as {v}_im" for v in vals)
+    return [f"{out}_p as (select {rest}, {packed} from {src} group by {rest})", f"{out} as (select {rest}, k as {at}, {turned} from {out}_p, tw{n})"]
+
+
+def tile_fft(src: str, v: str, out: str, n: int) -> list[str]:
+    """Half-grid spectrum of the dense cells of every tile: (tile, kx, ky, kz, {v}_re, {v}_im)."""
+    return [f"{out}_l as (select tile, ix, iy, list({v} order by iz) as l from {src} group by tile, ix, iy)",
+            f"{out}_z as (select tile, ix, iy, k as kz, list_dot_product(l, c) as {v}_re, -list_dot_product(l, s) as {v}_im from {out}_l, tw{n} where k <= {n // 2})",
+            *_turned(f"{out}_z", "iy", "ky", "tile, ix, kz", [v], f"{out}_y", "+", n), *_turned(f"{out}_y", "ix", "kx", "tile, ky, kz", [v], out, "+", n)]
+
+
+def tile_ifft(src: str, vals: list[str], out: str, n: int) -> list[str]:
+    w = f"(case when kz in (0, {n // 2}) then 1.0 else 2.0 end) / {float(n**3)!r}"
+    packed = ", ".join(f"list({v}_{p} * {w} order by kz) as {v}_{p}" for v in vals for p in ("re", "im"))
+    half = lambda t: f"list_slice({t}, 1, {n // 2 + 1})"
+    real = ", ".join(f"list_dot_product({v}_re, {half('c')}) - list_dot_product({v}_im, {half('s')}) as {v}" for v in vals)
+    return [*_turned(src, "kx", "ix", "tile, ky, kz", vals, f"{out}_x", "-", n), *_turned(f"{out}_x", "ky", "iy", "tile, ix, kz", vals, f"{out}_y", "-", n),
+            f"{out}_w as (select tile, ix, iy, {packed} from {out}_y group by tile, ix, iy)",
+            f"{out} as (select tile, ix, iy, k as iz, {real} from {out}_w, tw{n})"]
+
+
+def waves(src: str, out: str, n: int = N, kf: float = KF) -> str:
     """Add wavenumbers and k2; the Nyquist index is negative along x and y, positive along z."""
     sg = lambda c: f"(case when {c} >= {n // 2} then {c} - {n} else {c} end)"
-    return (f"{out} as (select *, {sg('kx')} * {KF!r} as wx, {sg('ky')} * {KF!r} as wy, kz * {KF!r} as wz,"
+    return (f"{out} as (select *, {sg('kx')} * {kf!r} as wx, {sg('ky')} * {kf!r} as wy, kz * {kf!r} as wz,"
             f" {sg('kx')} * {sg('kx')} + {sg('ky')} * {sg('ky')} + kz * kz as n2 from {src})")
 
 
@@ -303,10 +335,11 @@ DENS = f"d as (select ix, iy, iz, q / 4096.0 / (m / {float(N**3)!r}) as d from m
 TSC = [P, CNT] + mesh("p", "tsc", N) + [DENS]
 
 
-def force(src: str, factor: str, v: str = "d") -> str:
+def force(src: str, factor: str, v: str = "d", kf: float = KF, by: str = "", out: str = "kf") -> str:
     """ik / k2 times a factor, on spectrum rows with waves."""
-    comp = ", ".join(f"-w{a} * {v}_im * ({factor}) / {SAFE} as g{a}_re, w{a} * {v}_re * ({factor}) / {SAFE} as g{a}_im" for a in "xyz")
-    return f"kf as (select kx, ky, kz, {comp} from {src})"
+    safe = f"(case when n2 = 0 then 1.0 else (n2 * {kf * kf!r}) end)"
+    comp = ", ".join(f"-w{a} * {v}_im * ({factor}) / {safe} as g{a}_re, w{a} * {v}_re * ({factor}) / {safe} as g{a}_im" for a in "xyz")
+    return f"{out} as (select {by}kx, ky, kz, {comp} from {src})"
 
 
 G3 = ["gx", "gy", "gz"]
@@ -338,6 +371,40 @@ def read_back(scheme: str, field: str, src: str) -> list[str]:
             + f" from sr s, off_{scheme} join {field} m on {at} group by rid)"]
 
 
+# each of the 64 tiles is a periodic box of 32 fine cells: 16 of its own between buffers of 8
+_TK = 2 * math.pi / 16.0
+_TS = f"1.0 - exp(-(n2 * {_TK * _TK!r}) * {GEO.r_s ** 2!r})"
+TILE_FORCE = [CNT, turns(32)] + TILES + [
+    "tq as (select tile, ix, iy, iz, sum(q) as q from dl group by all)",
+    "tg0 as (select i // 32768 as tile, i // 1024 % 32 as ix, i // 32 % 32 as iy, i % 32 as iz from range(2097152) r(i))",
+    f"td as (select tile, ix, iy, iz, coalesce(q, 0) / 4096.0 * {64.0**3!r} / m as d from tg0 left join tq using (tile, ix, iy, iz), t)"] + tile_fft(
+    "td", "d", "tf", 32) + [waves("tf", "tw_k", 32, _TK), force("tw_k", _TS, kf=_TK, by="tile, ", out="tk")] + tile_ifft("tk", G3, "tg", 32) + [
+    "ro as (select rid, dx, dy, dz, i, j, k, (cx // 16) * 16 + (cy // 16) * 4 + cz // 16 as tile,"
+    " cx % 16 + 8 + i as ix, cy % 16 + 8 + j as iy, cz % 16 + 8 + k as iz from st, off_cic)",
+    "tr as (select rid, " + ", ".join(f"sum({_w8} * {c}) as {c}" for c in G3) + " from ro join tg using (tile, ix, iy, iz) group by rid)"]
+NUMBERED = f"p as materialized (select *, row_number() over () as rid from ({particles_sql()}))"
+_three = lambda src: ", ".join(f"{rd(src.format(c), 7)} as {c}" for c in G3)
+SQL["tiled_short_force"] = sql([NUMBERED] + TILE_FORCE, f"select x, y, z, {_three('{}')} from tr join p using (rid)")
+# the long arm: coarse mesh, split kernel times the window match, read with the same stencil
+_wt = " * ".join(f"({weight(a, 'tsc', o)})" for a, o in zip("xyz", "ijk"))
+TWO_LEVEL = [NUMBERED] + TILE_FORCE + mesh("p", "tsc", N) + [DENS] + fft("d", ["d"], "f") + [
+    waves("f", "fw"), force("fw", f"{_S} * ({win(4, _ratio)}) / ({win(6)})")] + ifft("kf", G3, "lg") + [
+    "lo_r as (select rid, dx, dy, dz, i, j, k, " + ", ".join(f"{mod(f'c{a} + {o}', N)} as i{a}" for a, o in zip("xyz", "ijk")) + " from st_mesh, off_tsc)",
+    "lr as (select rid, " + ", ".join(f"sum({_wt} * {c}) as {c}" for c in G3) + " from lo_r join lg using (ix, iy, iz) group by rid)",
+    "tw_l as (select rid, " + ", ".join(f"lr.{c} + tr.{c} as {c}" for c in G3) + " from lr join tr using (rid))"]
+SQL["two_level_force"] = sql(TWO_LEVEL, f"select x, y, z, {_three('{}')} from tw_l join p using (rid)")
+# one mesh of 64 cells a side: the same steps with a single tile
+SQL["force_error_percentiles"] = sql(TWO_LEVEL + [turns(64)] + mesh("p", "cic", 64, "fine", "fine") + [
+    "fg as (select 0 as tile, i // 4096 as ix, i // 64 % 64 as iy, i % 64 as iz from range(262144) r(i))",
+    f"fd as (select tile, ix, iy, iz, coalesce(q, 0) / 4096.0 * {64.0**3!r} / m as d from fg left join fine using (ix, iy, iz), t)"]
+    + tile_fft("fd", "d", "ff", 64) + [waves("ff", "fk", 64), force("fk", "1.0", by="tile, ", out="fo")] + tile_ifft("fo", G3, "fs", 64) + [
+    "fo_r as (select rid, dx, dy, dz, i, j, k, " + ", ".join(f"{mod(f'c{a} + {o}', 64)} as i{a}" for a, o in zip("xyz", "ijk")) + " from st_fine, off_cic)",
+    "sr1 as (select rid, " + ", ".join(f"sum({_w8} * {c}) as {c}" for c in G3) + " from fo_r join fs using (ix, iy, iz) group by rid)",
+    "er as (select sqrt(" + " + ".join(f"pow(tw_l.{c} - sr1.{c}, 2)" for c in G3) + ") as e, "
+    + " + ".join(f"pow(sr1.{c}, 2)" for c in G3) + " as w from tw_l join sr1 using (rid))"],
+    f"select {rd('sqrt(avg(w))', 7)} as rms, {rd('quantile_cont(e, 0.5) / sqrt(avg(w))', 7)} as p50, {rd('quantile_cont(e, 0.95) / sqrt(avg(w))', 7)} as p95 from er")
+
+
 def mono_at(src: str = "p") -> list[str]:
     """Single-mesh CIC force at every row of ``src``."""
     return (mesh(src, "cic", N) + [DENS] + fft("d", ["d"], "f") + [waves("f", "fw"), force("fw", "1.0")]

@@ -504,7 +504,7 @@ def force_error_percentiles(spark, sf):
     got = [f"g{a}_at" for a in AXES]
     g = g.withColumnsRenamed({c: f"t{c}" for c in got})
     m = FO.force_global(salted_lines(spark, sf), GEO.n_fine, BOX, total(spark, sf), "mono", scheme="cic", readers=g, same=True)
-    return FO.force_error_stats(m, [f"t{c}" for c in got], got)
+    return rounded(FO.force_error_stats(m, [f"t{c}" for c in got], got), 7, "rms", "p50", "p95")
 
 
 @query

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meshtide.config import Cosmology, geometry
+from meshtide.config import Cosmology, Geometry, geometry
 from meshtide.functions import kspace as K
 from meshtide.operators import forces as FO
 from meshtide.operators import gather as GA
@@ -81,6 +81,53 @@ def test_tiled_force_is_the_tile_algorithm(spark):
     assert own.sum() > 3 and np.abs(got["gx_at"].to_numpy()[own] - want).max() < 1e-11
 
 
+def test_one_tile_without_a_buffer_is_the_whole_box(spark):
+    rng = np.random.default_rng(11)
+    pos = np.rint(rng.uniform(0, BOX, (500, 3)) / GEO.lattice.quantum) * GEO.lattice.quantum % BOX
+    rows = GA.with_salt(frame(spark, pos, ids=True))
+    one = Geometry(GEO.n_part, BOX, GEO.n_fine, GEO.n_coarse, GEO.n_fine, 0)
+    tiled = FO.force_short(rows, one, 500).toPandas().sort_values("id")
+    whole = FO.force_global(rows, GEO.n_fine, BOX, 500, "short", GEO.r_s).toPandas().sort_values("id")
+    cols = [f"{c}_at" for c in FO.FORCE]
+    scale = np.abs(whole[cols].to_numpy()).max()
+    assert scale > 1e-6 and np.abs(tiled[cols].to_numpy() - whole[cols].to_numpy()).max() / scale < 1e-12
+
+
+def test_batched_transforms_keep_meshes_apart(spark):
+    """Three sparse meshes in one solve, against each alone; a mesh without a row yields none."""
+    rng, n = np.random.default_rng(12), 8
+    cubes = {m: rng.normal(size=(n, n, n)) * (rng.random((n, n, n)) < 0.3) for m in (-4, 0, 2**40)}
+    rows = [(m, *map(int, i), float(c[tuple(i)])) for m, c in cubes.items() for i in np.argwhere(c)]
+    df = spark.createDataFrame(rows, "mesh long, ix long, iy long, iz long, q double")
+    got = S.solve(df, "q", n, K.force_kernel(n, BOX), FO.FORCE, by=["mesh"]).toPandas()
+    assert len(got) == 3 * n * n
+    for m in cubes:
+        alone = S.solve(df.filter(F.col("mesh") == m).drop("mesh"), "q", n, K.force_kernel(n, BOX), FO.FORCE).toPandas()
+        mine = got[got.mesh == m].sort_values(["ix", "iy"])
+        for c in FO.FORCE:
+            assert np.array_equal(np.stack(mine[c]), np.stack(alone.sort_values(["ix", "iy"])[c]))
+
+
+def test_subvolume_power_against_cubes(spark):
+    """Two bands of 8 sub-cubes of 8 cells (one of them empty), each transformed whole."""
+    rng, n = np.random.default_rng(13), 16
+    cube = rng.poisson(1.0, (n, n, n)).astype(float)
+    cube[:8, :8, :8] = 0.0
+    df = spark.createDataFrame([(*map(int, i), float(cube[tuple(i)])) for i in np.argwhere(cube)], "ix long, iy long, iz long, q double")
+    kf, centers = 2 * np.pi / (BOX / 2), [2 * np.pi / (BOX / 2), 3 * 2 * np.pi / (BOX / 2)]
+    got = HI.subvolume_power(df, "q", n, BOX, 2, centers, offset_frac=0.0, scale=0.5).toPandas().set_index(["sub", "band"])
+    f, h = K.freqs(8, BOX / 16), K.freqs(8, BOX / 16, True)
+    k = np.sqrt(f[:, None, None] ** 2 + f[None, :, None] ** 2 + h[None, None, :] ** 2)
+    assert len(got) == 16
+    for sub in range(8):
+        x, y, z = sub // 4 * 8, sub // 2 % 2 * 8, sub % 2 * 8
+        d = cube[x:x + 8, y:y + 8, z:z + 8] * 0.5 - 1.0
+        p = np.abs(np.fft.rfftn(d)) ** 2 * (BOX / 2) ** 3 / 8.0**6
+        for band, c in enumerate(centers):
+            want = p[(k >= c - kf / 2) & (k < c + kf / 2)].mean()
+            assert np.isclose(got.loc[(sub, band)].p, want, rtol=1e-12, atol=1e-15) and np.isclose(got.loc[(sub, band)].delta_bar, d.mean(), atol=1e-14)
+
+
 def test_erfc():
     x = np.concatenate([np.linspace(0.0, 6.0, 601), [2.5, 10.0, 26.0]])
     assert np.allclose(FO.erfc(x), [math.erfc(v) for v in x], rtol=3e-12, atol=1e-15)
