@@ -242,3 +242,31 @@ def test_percentiles_through_the_order(spark):
         assert [x.low, x.mid, x.top] == pytest.approx(np.quantile(own, [0.16, 0.5, 1.0]))
     every = R.percentiles(df, "v", probs).first()
     assert every.mid == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_percentiles_where_brackets_miss(spark):
+    """A sketch too coarse for its brackets, ties over half of a group, infinities, a null group: exact all the same."""
+    r = np.random.default_rng(6)
+    rows = [(1, float(v)) for v in np.exp(r.normal(size=3000) * 8)] + [(2, 7.0)] * 900 + [(2, float(v)) for v in r.normal(size=700)]
+    rows += [(None, v) for v in (float("-inf"), -1.0, 3.0, float("inf"))] + [(None, None)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(7)
+    probs = {"a": 0.0, "b": 0.07, "c": 0.5, "d": 0.93, "e": 1.0}
+    for accuracy in (3, 200, 10000):
+        got = {x.g: x for x in R.percentiles(df, "v", probs, ["g"], accuracy).collect()}
+        assert len(got) == 3
+        for g in (1, 2):
+            own = [v for h, v in rows if h == g]
+            assert [got[g][k] for k in probs] == pytest.approx(np.quantile(own, list(probs.values())), rel=1e-12)
+        assert (got[None].a, got[None].c, got[None].e) == (float("-inf"), 1.0, float("inf"))
+
+
+def test_percentiles_of_nothing(spark):
+    none = spark.createDataFrame([(1, None)], "g long, v double")
+    assert R.percentiles(none, "v", {"m": 0.5}).collect() == [(None,)]
+    assert R.percentiles(none, "v", {"m": 0.5}, ["g"]).collect() == []
+
+
+def test_percentiles_store_a_narrow_part(spark):
+    df = spark.range(400000).selectExpr("cast(id as double) as v")
+    kept = R._narrowed(df.withColumnRenamed("v", "_v"), [], {"m": 0.5}, 10000, 4.0)
+    assert kept.count() < 2000 and R.percentiles(df, "v", {"m": 0.5}).first().m == 199999.5
