@@ -74,6 +74,41 @@ def raw_catalog(points: DataFrame, box: float, link: float, floor: int = 10) ->
     return ordered.select(F.col("ordinal").alias("halo"), *[c for c in found.columns if c != "_less"])
 
 
+HEADER = ("box", "n_part", "link", "mesh")
+
+
+def with_header(catalog: DataFrame, box: float, n_part: int, link: float, mesh: int, a: float) -> DataFrame:
+    """The catalogue with what it was made from, as metadata of its count column: it stays through writes and reads."""
+    made = {"box": float(box), "n_part": int(n_part), "link": float(link), "mesh": int(mesh), "a": float(a)}
+    return catalog.withMetadata("n", {"catalogue": made})
+
+
+def header(catalog: DataFrame) -> dict:
+    found = catalog.schema["n"].metadata.get("catalogue")
+    if found is None:
+        raise ValueError("the catalogue has no header")
+    return found
+
+
+def refuse_unlike(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> None:
+    """Raise unless both catalogues come from the same box, particles, linking length, mesh and epoch."""
+    one, other = header(a), header(b)
+    unlike = [f"{k} {one[k]} and {other[k]}" for k in HEADER if one[k] != other[k]]
+    if abs(one["a"] - other["a"]) > tolerance * abs(other["a"]):
+        unlike.append(f"epochs {one['a']} and {other['a']}")
+    if unlike:
+        raise ValueError("the catalogues cannot be compared: " + ", ".join(unlike))
+
+
+def compare(a: DataFrame, b: DataFrame, lat: Lattice, r_fac: float = 2.0, edges=None) -> DataFrame:
+    """``match_table`` of two catalogues with headers, refused where these differ from each other or from the lattice."""
+    refuse_unlike(a, b)
+    if header(a)["box"] != lat.box or header(a)["n_part"] != lat.n_part:
+        raise ValueError("the catalogues come from another lattice")
+    a, b = durable(a), durable(b)
+    return match_table(match(a, b, lat, r_fac), a, b, lat, COUNT_EDGES if edges is None else edges)
+
+
 def r200m(n, lat: Lattice):
     """Radius enclosing 200 times the mean density for a halo of n particles."""
     return F.lit(lat.spacing) * F.pow(F.lit(3.0 / (800.0 * math.pi)) * n, F.lit(1.0 / 3.0))

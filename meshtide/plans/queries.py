@@ -738,6 +738,14 @@ def sub_moments(spark, sf):
     return rounded(HI.sub_moments(d, "r0", N, 4, scale=10.0), 7, "m2", "m3")
 
 
+@query
+def skewness_theory(spark, sf):
+    """Variance, its slope and S3 of the smoothed counts beside linear theory, at two radii."""
+    t = HI.skewness_against_theory(counts_mesh(spark, sf), "d", N, BOX, [4.0, 6.0], 4, COSMO)
+    t = rounded(t, 7, "sigma2", "gamma", "s3_tree", "s3_zeldovich")
+    return rounded(rounded(t, 4, "s3", "s3_err"), 3, "sigma2_linear", "gamma_linear")
+
+
 @query
 def skewness_jackknife(spark, sf):
     d = HI.smoothed(counts_mesh(spark, sf), "d", N, BOX, [4.0])

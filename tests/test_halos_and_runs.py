@@ -223,3 +223,23 @@ def test_query_against_reference_sql(spark, name):
         got = entry.queries()[name](spark, sf).toPandas()
     assert set(session._TABLES) == held
     assert difference(got, connect(sf).execute(entry.oracle_sql()[name]).df()) is None
+
+
+def test_catalogue_headers_travel_and_unlike_ones_are_refused(spark, tmp_path):
+    cat = spark.createDataFrame([(1, 40, 1.0, 1.0, 1.0), (2, 12, 9.0, 9.0, 9.0)], "halo_id long, n long, cx double, cy double, cz double")
+    made = dict(box=GEO.box, n_part=GEO.n_part, link=0.2, mesh=GEO.n_fine, a=0.5)
+    a = H.with_header(cat, **made)
+    a.write.parquet(str(tmp_path / "cat"))
+    stored = spark.read.parquet(str(tmp_path / "cat"))
+    assert H.header(stored) == H.header(a) == made
+    H.refuse_unlike(a, H.with_header(cat, **{**made, "a": 0.5 * (1 + 1e-7)}))
+    for key, other in (("box", 2 * GEO.box), ("n_part", 7), ("link", 0.28), ("mesh", 7), ("a", 0.5001)):
+        with pytest.raises(ValueError, match="epochs" if key == "a" else key):
+            H.compare(a, H.with_header(cat, **{**made, key: other}), GEO.lattice)
+    with pytest.raises(ValueError, match="no header"):
+        H.compare(a, cat, GEO.lattice)
+    far = H.with_header(cat, **{**made, "box": 2 * GEO.box})
+    with pytest.raises(ValueError, match="lattice"):
+        H.compare(far, far, GEO.lattice)
+    rows = H.compare(a, stored, GEO.lattice, edges=(10, 30)).orderBy("bin").collect()
+    assert [r.matched for r in rows] == [1, 1] and [r.f_match_a for r in rows] == [1.0, 1.0]

@@ -128,6 +128,25 @@ def test_subvolume_power_against_cubes(spark):
             assert np.isclose(got.loc[(sub, band)].p, want, rtol=1e-12, atol=1e-15) and np.isclose(got.loc[(sub, band)].delta_bar, d.mean(), atol=1e-14)
 
 
+def test_variance_and_its_slope_against_the_whole_grid(spark):
+    from meshtide.functions import cosmology as C
+    rng, n, radius, e = np.random.default_rng(14), 16, 5.0, 1e-4
+    cube = rng.normal(size=(n, n, n))
+    k = K.freqs(n, BOX / n)
+    size = np.sqrt(k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2)
+    power = np.abs(np.fft.fftn(cube)) ** 2
+    power[0, 0, 0] = 0.0
+    var = lambda r: (power * K.tophat(size * r) ** 2).sum() / n**6
+    got = HI.variance_slopes(mesh_frame(spark, cube), "q", n, BOX, [radius, 8.0]).orderBy("r").collect()
+    assert [g.sigma2 for g in got] == pytest.approx([var(radius), var(8.0)], rel=1e-12)
+    slope = lambda f: np.log(f(radius * (1 + e)) / f(radius * (1 - e))) / np.log((1 + e) / (1 - e))
+    assert got[0].gamma == pytest.approx(slope(var), rel=1e-6)
+    cosmo = Cosmology()
+    assert C.sigma_slope(radius, cosmo) == pytest.approx(slope(lambda r: C.sigma_R(r, cosmo) ** 2), rel=1e-6)
+    table = HI.skewness_against_theory(mesh_frame(spark, cube), "q", n, BOX, [radius], 4, cosmo, z=1.0).first()
+    assert table.sigma2_linear == pytest.approx(C.sigma_R(radius, cosmo, 1.0) ** 2) and table.s3_tree - table.s3_zeldovich == pytest.approx(6 / 7)
+
+
 def test_erfc():
     x = np.concatenate([np.linspace(0.0, 6.0, 601), [2.5, 10.0, 26.0]])
     assert np.allclose(FO.erfc(x), [math.erfc(v) for v in x], rtol=3e-12, atol=1e-15)
