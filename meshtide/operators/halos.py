@@ -30,38 +30,40 @@ def particle_mass(omega_m: float, lat: Lattice) -> float:
 
 
 def fof_cells(particles: DataFrame, lat: Lattice, b: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(positions, labels): distinct lattice positions (pos, cell, n), and (cell, root)."""
+    """(points, cells): x, y, z in levels with their cell, and the cells of ``linking`` with their root."""
     n = lat.levels
-    rows = L.with_lattice(particles, lat).select(L.flat(F.col("jx"), F.col("jy"), F.col("jz"), n).alias("pos"))
-    positions = durable(rows.groupBy("pos").agg(F.count(F.lit(1)).alias("n")))
     # levels are whole numbers, so distances in levels are exact
-    levels = {a: (L.div(F.col("pos"), u) % n).cast("double") for a, u in zip("xyz", (n * n, n, 1))}
-    placed, cells = linking.linked_cells(positions.withColumns(levels), float(n), b * n / lat.n_part)
-    return placed.select("pos", "cell", "n"), cells.select("cell", "root")
+    levels = L.with_lattice(particles, lat).select(*(F.col(f"j{a}").cast("double").alias(a) for a in "xyz"))
+    return linking.linked_cells(levels, float(n), b * n / lat.n_part)
 
 
 def fof_catalog(particles: DataFrame, lat: Lattice, b: float = 0.2, floor: int = 10) -> DataFrame:
     """(halo_id, n, cx, cy, cz) of groups with at least ``floor`` members.
 
-    Ids are the group's lowest lattice position; centres are minimum-image means about it.
+    Ids are the group's lowest lattice position; centres are minimum-image means about it. A cell whose points share
+    an image counts with its sums; only cells that half the box from the lowest position cuts look at points again.
+    ``particles`` may be read three times: give a stored table, or a cheap projection of one.
     """
-    positions, labels = fof_cells(particles, lat, b)
-    tagged = positions.join(labels, "cell")
-    groups = tagged.groupBy("root").agg(F.min("pos").alias("halo_id"), F.sum("n").alias("size"))
-    groups = groups.filter(F.col("size") >= floor)
-    rows = tagged.join(groups, "root")
+    points, cells = fof_cells(particles, lat, b)
     n, q, box = lat.levels, lat.quantum, lat.box
-    axis = {"x": n * n, "y": n, "z": 1}
-    level = lambda c, u: (L.div(F.col(c), u) % n)
-    sums = []
-    for a, u in axis.items():
-        d = (level("pos", u) - level("halo_id", u)).cast("double")
-        d = d - F.lit(float(n)) * F.rint(d / F.lit(float(n)))
-        sums.append(F.sum(d * F.col("n")).alias(f"s{a}"))
-    out = rows.groupBy("halo_id").agg(F.sum("n").alias("n"), *sums)
-    com = [F.expr(f"pmod(cast({'halo_id div ' + str(u) + 'L' if u > 1 else 'halo_id'} as bigint) % {n}L * {q!r}D"
-                  f" + s{a} / n * {q!r}D, {box!r}D)").alias(f"c{a}") for a, u in axis.items()]
-    return out.select("halo_id", "n", *com)
+    groups = cells.groupBy("root").agg(F.min(F.struct("lx", "ly", "lz")).alias("least"), F.sum("n").alias("size"))
+    groups = durable(groups.filter(F.col("size") >= floor).select("root", *(F.col(f"least.l{a}").alias(f"{a}0") for a in "xyz")))
+    rows = cells.join(groups, "root")
+    turns = lambda c, a: F.rint((F.col(c) - F.col(f"{a}0")) / F.lit(float(n)))
+    one_image = F.lit(True)
+    for a in "xyz":
+        one_image = one_image & (turns(f"lo{a}", a) == turns(f"hi{a}", a))
+    refs = [f"{a}0" for a in "xyz"]
+    even = rows.filter(one_image).select("root", *refs, "n", *(
+        (F.col(f"s{a}") - F.col("n") * (F.col(f"{a}0") + F.lit(float(n)) * turns(f"lo{a}", a))).alias(f"s{a}") for a in "xyz"))
+    cut = durable(rows.filter(~one_image).select("cell", "root", *refs))
+    odd = points.join(cut, "cell").select("root", *refs, F.lit(1).cast("long").alias("n"), *(
+        (F.col(a) - F.col(f"{a}0") - F.lit(float(n)) * turns(a, a)).alias(f"s{a}") for a in "xyz"))
+    sums = [F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz")]
+    # points are summed by themselves, so that a group's sums are one row per task before they meet
+    out = even.groupBy("root", *refs).agg(*sums).unionByName(odd.groupBy("root", *refs).agg(*sums)).groupBy("root", *refs).agg(*sums)
+    com = [F.expr(f"pmod(cast({a}0 as bigint) * {q!r}D + s{a} / n * {q!r}D, {box!r}D)").alias(f"c{a}") for a in "xyz"]
+    return out.select(L.flat(*(F.col(r).cast("long") for r in refs), n).alias("halo_id"), "n", *com)
 
 
 def raw_catalog(points: DataFrame, box: float, link: float, floor: int = 10) -> DataFrame:

@@ -867,7 +867,7 @@ def drifted_positions(spark, sf):
 
 
 def drifted_catalog(spark, sf):
-    return H.fof_catalog(drifted_positions(spark, sf), GEO.lattice, LINK, FLOOR)
+    return H.fof_catalog(durable(drifted_positions(spark, sf)), GEO.lattice, LINK, FLOOR)
 
 
 @query
@@ -885,7 +885,7 @@ def halo_fof_raw(spark, sf):
     """Groups of positions off the lattice, numbered by decreasing count."""
     at = particles(spark, sf, "lineitem", keep=["l_linenumber"])
     shifted = at.select(*((F.col(a) + F.col("l_linenumber") * F.lit(w * 2.0**-12)).alias(a) for a, w in zip(AXES, (1, 3, 5))))
-    return rounded(H.raw_catalog(durable(shifted), BOX, LINK * GEO.lattice.spacing, FLOOR), 7, "cx", "cy", "cz")
+    return rounded(H.raw_catalog(shifted, BOX, LINK * GEO.lattice.spacing, FLOOR), 7, "cx", "cy", "cz")
 
 
 @query

@@ -83,3 +83,17 @@ def test_links_need_points_and_refusals(spark):
         K.cells_per_side(1.0, 0.7)
     with pytest.raises(Exception, match="null position"):
         K.groups(frame(spark, np.array([[1.0, 1, 1]])).selectExpr("cast(null as double) x", "y", "z"), BOX, 0.5).count()
+
+
+def test_filled_box_leaves_few_pairs(spark):
+    """Full cells are never within the link as boxes: their points decide, and few pairs leave the blocks."""
+    link, rng = 1.0, np.random.default_rng(6)
+    pos = rng.uniform(0, BOX, (60_000, 3))
+    m, _ = K.cells_per_side(BOX, link)
+    cells = K.cell_table(K.with_cell(frame(spark, pos), BOX, m)).cache()
+    assert cells.agg({"n": "max"}).first()[0] > K.KEEP
+    assert K.neighbour_pairs(cells, BOX, link).count() < 2 * cells.count()
+    got = K.groups(frame(spark, pos), BOX, link).toPandas()
+    assert got["n"].tolist() == [len(pos)]
+    assert tuple(got.loc[0, ["x0", "y0", "z0"]]) == min(map(tuple, pos))
+    assert "pts" in cells.columns and not cells.filter("whole and length(pts) <> 24 * n or not whole and length(pts) > 24 * 16").count()
