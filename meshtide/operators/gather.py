@@ -101,16 +101,20 @@ def read_blocks(particles: DataFrame, blocks: DataFrame, fields: list[str], sche
     sized = placed if counted is None else counted.withColumn("block", block)
     per_block = sized.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     chunks = per_block.select("block", F.ceil(F.col("m") / max_rows).cast("long").alias("chunks"))
-    left = placed.join(chunks, "block").withColumn("chunk", F.col("salt") % F.col("chunks"))
+    # crowded blocks are at most one per max_rows particles: their list is broadcast, so that no block's particles meet in one task
+    crowded = F.broadcast(chunks.filter("chunks > 1"))
+    left = placed.join(crowded, "block", "left").withColumn("chunk", F.coalesce(F.col("salt") % F.col("chunks"), F.lit(0).cast("long")))
     left = left.select(*names, "block", "chunk")
-    right = blocks.join(chunks, "block")
-    right = right.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    right = blocks.join(crowded, "block", "left")
+    right = right.withColumn("chunk", F.explode(F.expr("sequence(0L, coalesce(chunks, 1L) - 1)")))
     right = right.select("block", "chunk", "lx", "ly", *fields)
     corners = list(product(range(len(REACH[scheme])), repeat=3))
     first, w3 = REACH[scheme][0], side + 2
 
     def fn(rows: pa.Table, cells: pa.Table) -> pa.Table:
         body = rows.select(names)
+        if rows.num_rows == 0:
+            return pa.table({**{c: body.column(c) for c in names}, **{o: pa.array([], pa.float64()) for o in out}})
         grids = [np.zeros((w3, w3, w3)) for _ in fields]
         if cells.num_rows:
             lx, ly = cells.column("lx").to_numpy(), cells.column("ly").to_numpy()

@@ -221,6 +221,22 @@ def test_gather_against_numpy(spark, scheme, n):
     assert len(got) == 300 and np.allclose(got["f_at"], want, atol=1e-12)
 
 
+def test_gather_joins_no_particles_by_block(spark):
+    """One block holds all particles: a join on it would bring them into one task. Blocks without particles give no rows."""
+    i = np.indices((16, 16, 16)).reshape(3, -1)
+    mesh = spark.createDataFrame(pd.DataFrame({"ix": i[0], "iy": i[1], "iz": i[2], "f": np.ones(16**3)}))
+    got = GA.gather(GA.with_salt(frame(spark, np.full((50, 3), 3.3))), mesh, ["f"], "cic", 16, BOX, max_rows=8)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got.select("f_at")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    fine = GA.gather(GA.with_salt(frame(spark, np.full((50, 3), 3.3))), mesh.filter("ix < 0"), ["f"], "cic", 64, BOX, max_rows=8)
+    assert got.count() == fine.count() == 50
+
+
 def test_tile_ownership_is_a_partition(spark):
     rows, scales = ST.encode(frame(spark, np.random.default_rng(9).uniform(0, BOX, (9000, 3))), GEO)
     m = ST.tile_members(scales, GEO).toPandas()
