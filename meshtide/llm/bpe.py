@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield {"doc_id": b["doc_id"], "ids": [x for part in slices(b["text"].to_pylist()) for x in own.encode(part)]}
 
-    return arrow_map(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids binary")
+    return arrow_map(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids binary", holds=True)
 
 
 def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -238,7 +238,7 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield {"doc_id": b["doc_id"], "ids": b["ids"], "decoded": [own.decode(x or b"") for x in b["ids"].to_pylist()]}
 
-    return arrow_map(ids.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+    return arrow_map(ids.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary", holds=True)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -257,4 +257,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield {"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": text_hash}
 
     return arrow_map(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run,
-                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=True)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.ngrams import blocks, sums
-from meshtide.llm.shared import arrow_map, as_bytes, bounded_batches
+from meshtide.llm.shared import arrow_map, as_bytes, bounded_batches, release_worker
 from meshtide.llm.training import Sample, sample
 
 BITS = 17
@@ -96,6 +96,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        release_worker()
         return pa.array(score_texts(text, Model(*shipped.value)))
 
     bounded_batches(docs.sparkSession)

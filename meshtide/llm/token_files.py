@@ -254,7 +254,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
             yield flush()
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return arrow_map(ordered, run, "name string, part int, number int, n_ids long")
+    return arrow_map(ordered, run, "name string, part int, number int, n_ids long", holds=True)
 
 
 def read_tokens(spark: SparkSession, folder: str, report: DataFrame) -> DataFrame:

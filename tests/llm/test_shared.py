@@ -36,3 +36,17 @@ def test_skewed_join_is_an_inner_join(spark):
     counted = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k <> 4")
     joined = skewed_join(rows, counted, ["k"]).collect()
     assert len(joined) == 1504 and all(r.n == {1: 1500, 2: 3, 3: 1}[r.k] for r in joined)
+
+
+def test_worker_values_go_with_the_first_task_that_holds_none(spark):
+    """What one stage leaves in a Python worker would count in all later ones."""
+    key = ("test", "held")
+    first = shared.per_worker(key, list)
+    shared.release_worker(keep=True)
+    assert shared.per_worker(key, list) is first
+    shared.release_worker()
+    assert shared.per_worker(key, list) is not first
+    shared.release_worker()
+    two = spark.range(2, numPartitions=1)
+    count = lambda batches: ({"n": [len(shared.per_worker(key, lambda: [1]))] * len(b["id"])} for b in batches)
+    assert [r.n for r in shared.arrow_map(two, count, "n long", holds=True).collect()] == [1, 1]
