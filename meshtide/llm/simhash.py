@@ -7,6 +7,11 @@ fingerprints: copies never meet each other. Within a key, fingerprints are compa
 each connected set goes out instead of all its pairs. A key with more than TILE fingerprints is split into pairs of
 chunks, which different tasks compare. All links count; there is no cap.
 
+``drop_near_duplicates`` is for texts whose sets of shingles have a similarity of 0.8 or more. Their fingerprints of 64 bits differ in 5 to 14
+bits, for which there are no blocks of usable width, so ``groups`` takes longer ones: 256 bits, of which near copies differ in
+at most 72, and blocks of many more, of which only the strongest bits make up the keys (``votes``). Sets that share a key and have
+close fingerprints are candidates, and linked if the sets themselves confirm it.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other. Repeated rows share a
 fingerprint and so a component; rows without doc_id get the component of their group, and count for no minimum. An
 empty table gives an empty result. Input columns other than doc_id and text are ignored by ``near_duplicates`` and
@@ -18,16 +23,18 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshtide.llm import minhash
+from meshtide.llm import minhash, votes
 from meshtide.llm.graph import components
-from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files
+from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 
 BITS = 64
 TILE = 4096
+PRINTS = [f"p{i}" for i in range(votes.PRINT // 64)]
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -150,15 +157,97 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One whole row of each group: the one with the smallest doc_id, a null one last, then with the least text hash.
+def _classes(words: int, width: int, depth: int, keys: int):
+    def run(batches):
+        for part, sets in minhash.sets_of(batches, words):
+            sizes = np.array(list(map(len, sets)), np.int64)
+            prints, codes = votes.prints_and_codes(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes, width, depth, keys)
+            edges = np.concatenate([[0], np.cumsum(np.where(sizes > 0, keys, 0))]).astype(np.int32)
+            yield {"row": part["row"], "doc_id": part["doc_id"], "th": part["th"], "node": [minhash.name_of(x) for x in sets], "size": sizes,
+                   "codes": pa.ListArray.from_arrays(edges, codes[sizes > 0].ravel()), **{f"p{i}": prints[:, i] for i in range(len(PRINTS))}}
+
+    return run
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, doc): each row of ``docs`` as a struct, with a number; a stored table, so that the numbers stay."""
+    return scratch.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
 
-    Groups are those of ``minhash``, of texts with a shingle similarity of at least 0.8: a distance of 4 of 64 bits
-    meets few of them, and for the distances they have, 64 bits have no blocks of usable width.
+
+def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): members that meet the first one of a key, where sizes allow a similarity of 4/5 and fingerprints are close."""
+    sides = classes.select("id", F.struct("size", *PRINTS).alias("own"))
+    met = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    met = met.join(sides.select(F.col("id").alias("b"), F.col("own").alias("y")), "b").join(sides.select(F.col("id").alias("a"), F.col("own").alias("x")), "a")
+    differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PRINTS), F.lit(0))
+    return met.where((differ <= votes.DISTANCE) & F.expr("5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")).select("a", "b")
+
+
+def groups(rows: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
+    """(row, stays): for every row of a ``numbered`` table the row that stands for its group.
+
+    That is the one with the smallest doc_id, a null one last; of equal doc_ids the least hash of the text, then the first row.
+    A class, a distinct set, goes by the number of that row. Members of a key first meet one hub each, which is linear in a key's size:
+    a task holds one hub's set and streams the sets of its members, and a hub with more than PER_TASK of them is dealt to several tasks. Keys of
+    three or more whose members are then still of several groups are compared in full inside tasks, over the sets; one with more than TILE
+    shingles is split into pairs of chunks, which different tasks compare. There is no cap, and no set is broadcast.
     """
+    texts = rows.select("row", "doc.doc_id", F.xxhash64("doc.text").alias("th"), as_bytes("doc.text").alias("text"))
+    columns = "row long, doc_id long, th long, node binary, size long, codes array<int>, " + ", ".join(f"{p} long" for p in PRINTS)
+    prints = scratch.cut(arrow_map(texts, _classes(words, *votes.setting(rows.count())), columns))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "row")).alias("least")
+    classes = prints.groupBy("node").agg(first, *[F.first(c).alias(c) for c in ("size", *PRINTS)])
+    classes = scratch.cut(classes.select("node", "least", F.col("least.row").alias("id"), "size", *PRINTS), few=True)
+    coded = prints.select(F.col("row").alias("id"), "codes").join(classes.select("id").hint("shuffle_hash"), "id", "left_semi")
+    key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keyed = coded.select("id", F.posexplode("codes")).select(key.alias("key"), "id")
+    at = Window.partitionBy("key").orderBy("id")
+    met = keyed.select("key", "id", F.first("id").over(at).alias("hub"), F.lead("id").over(at).alias("after"))
+    members = scratch.cut(met.where("id <> hub or after is not null").drop("after"), few=True)
+
+    pairs = scratch.cut(candidates(members, classes), few=True)
+    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    crowded = scratch.cut(crowded, few=True)
+    asked_for = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = scratch.cut(_held(texts, asked_for, words))
+    hubs = scratch.cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / minhash.PER_TASK).cast("int")), few=True)
+    asked = skewed_join(pairs, hubs, ["a"]).select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    asked = asked.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "held")
+    own = hubs.join(sets.withColumnRenamed("id", "a"), "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "held")
+    dealt = own.unionByName(asked).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    links = scratch.cut(arrow_map(dealt, minhash.verified, "a long, b long"), few=True)
+
+    roots = components(links, scratch)
+    sized = skewed_join(members.select("key", "id"), crowded, ["key"]).select("key", "id").join(classes.select("id", "size"), "id")
+    rooted = sized.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_keys = rooted.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("x"), F.max("root").alias("y"))
+    left = scratch.cut(open_keys.where("x <> y").select("key", "n", F.ceil(F.col("total") / minhash.TILE).cast("int").alias("chunks")), few=True)
+    open_members = scratch.cut(skewed_join(members.select("key", "id"), left, ["key"]).select("key", "id", "chunks"), few=True)
+    mine = F.pmod(F.xxhash64("id"), "chunks").cast("int")
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j), F.greatest(mine, j))))
+    tiled = open_members.select("id", "key", tile.alias("tile")).select("id", F.xxhash64("key", "tile").alias("g"))
+    held = _held(texts, open_members.select("id").distinct(), words)
+    dealt = tiled.join(held, "id").repartition("g").sortWithinPartitions("g", "id")
+    more = scratch.cut(arrow_map(dealt, minhash.compared, "a long, b long").distinct(), few=True)
+
+    roots = components(links.unionByName(more), scratch).withColumnRenamed("node", "id")
+    whole = classes.select("node", "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = whole.join(whole.groupBy("root").agg(F.min("least").alias("stays")), "root").select("node", F.col("stays.row").alias("stays"))
+    return scratch.cut(prints.select("row", "node").join(named, "node").select("row", "stays"))
+
+
+def _held(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, held): the sets of the classes ``ids`` names."""
+    wanted = texts.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi")
+    return arrow_map(wanted, minhash.held_sets(words), "id long, held array<long>")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One whole row of each group of ``groups``: the one with the smallest doc_id, a null one last, then with the least text hash."""
     with Scratch(docs.sparkSession) as scratch:
-        rows = minhash.numbered(docs, scratch)
-        found = minhash.groups(rows, scratch, words)
+        rows = numbered(docs, scratch)
+        found = groups(rows, scratch, words)
         for table in (rows, found):
             scratch.keep(table)
     return rows.join(found.where("row = stays").hint("shuffle_hash"), "row", "left_semi").select("doc.*")
