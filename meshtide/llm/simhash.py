@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshtide.llm import minhash, votes
+from meshtide.llm.bloom import build, hits
 from meshtide.llm.graph import components
 from meshtide.llm.shared import Scratch, arrow_map, as_bytes, fewer_files, skewed_join
 
@@ -206,10 +207,9 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
     members = scratch.cut(met.where("id <> hub or after is not null").drop("after"), few=True)
 
     pairs = scratch.cut(candidates(members, classes), few=True)
-    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    crowded = scratch.cut(crowded, few=True)
+    crowded = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), few=True)
     asked_for = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = scratch.cut(_held(texts, asked_for, words))
+    sets = scratch.cut(held(texts, asked_for, scratch, words))
     hubs = scratch.cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / minhash.PER_TASK).cast("int")), few=True)
     asked = skewed_join(pairs, hubs, ["a"]).select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
     asked = asked.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "held")
@@ -219,16 +219,20 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
     links = scratch.cut(arrow_map(dealt, minhash.verified, "a long, b long"), few=True)
 
     roots = components(links, scratch)
-    sized = skewed_join(members.select("key", "id"), crowded, ["key"]).select("key", "id").join(classes.select("id", "size"), "id")
-    rooted = sized.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # one row per class with its keys, which are bounded, meets its root; a crowded group's keys do not go through a join one by one
+    listed = skewed_join(members.select("key", "id"), crowded, ["key"]).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    placed = classes.select("id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = listed.join(placed, "id").select("size", "root", F.explode("keys").alias("key"))
     open_keys = rooted.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("x"), F.max("root").alias("y"))
     left = scratch.cut(open_keys.where("x <> y").select("key", "n", F.ceil(F.col("total") / minhash.TILE).cast("int").alias("chunks")), few=True)
     open_members = scratch.cut(skewed_join(members.select("key", "id"), left, ["key"]).select("key", "id", "chunks"), few=True)
+    sets = scratch.cut(held(texts, open_members.select("id").distinct(), scratch, words))
+    listed = open_members.groupBy("id").agg(F.collect_list(F.struct("key", "chunks")).alias("of"))
+    each = listed.join(sets, "id").select("id", "held", F.explode("of").alias("of")).select("id", "held", "of.key", "of.chunks")
     mine = F.pmod(F.xxhash64("id"), "chunks").cast("int")
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j), F.greatest(mine, j))))
-    tiled = open_members.select("id", "key", tile.alias("tile")).select("id", F.xxhash64("key", "tile").alias("g"))
-    held = _held(texts, open_members.select("id").distinct(), words)
-    dealt = tiled.join(held, "id").repartition("g").sortWithinPartitions("g", "id")
+    tiled = each.select("id", "held", "key", tile.alias("tile")).select("id", "held", F.xxhash64("key", "tile").alias("g"))
+    dealt = tiled.repartition("g").sortWithinPartitions("g", "id")
     more = scratch.cut(arrow_map(dealt, minhash.compared, "a long, b long").distinct(), few=True)
 
     roots = components(links.unionByName(more), scratch).withColumnRenamed("node", "id")
@@ -237,10 +241,21 @@ def groups(rows: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
     return scratch.cut(prints.select("row", "node").join(named, "node").select("row", "stays"))
 
 
-def _held(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, held): the sets of the classes ``ids`` names."""
-    wanted = texts.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi")
-    return arrow_map(wanted, minhash.held_sets(words), "id long, held array<long>")
+def held(texts: DataFrame, ids: DataFrame, scratch: Scratch, words: int) -> DataFrame:
+    """(id, held): the sets of the classes ``ids`` names, and of few others, whom a Bloom filter does not tell from them; no text is shuffled."""
+    table = build(scratch.cut(ids.select(F.xxhash64("id").alias("h")), few=True), twice=False)
+    shipped = texts.sparkSession.sparkContext.broadcast(table)
+    make = minhash.held_sets(words)
+
+    def run(batches):
+        def named():
+            for b in batches:
+                hit = pa.array(hits(shipped.value, b["h"].to_numpy().view(np.uint64)))
+                yield {n: b[n].filter(hit) for n in ("id", "text")}
+
+        return make(named())
+
+    return arrow_map(texts.select(F.col("row").alias("id"), F.xxhash64("row").alias("h"), "text"), run, "id long, held array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
