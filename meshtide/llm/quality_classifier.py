@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 Hashed n-grams have learned vectors; a document's vector is their mean, and a softmax over it gives the classes. Both
-are trained by stochastic gradient descent in numpy on a bounded sample (``MAX_ROWS`` documents, ``MAX_FEATURES``
-features). As mean and output are linear, a trained model is one number per bucket, so scoring is a lookup and a mean
+are trained by stochastic gradient descent in numpy, in one task, on a bounded sample (``MAX_ROWS`` documents,
+``MAX_FEATURES`` features). As mean and output are linear, a trained model is one number per bucket, so scoring is a lookup and a mean
 over every n-gram of the whole text, in one pass without a shuffle.
 
 Defined cases: a null or empty text, or one without n-grams, scores by the class prior alone. Repeated rows score alike.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from meshtide.llm.ngrams import blocks, sums
 from meshtide.llm.shared import arrow_map, as_bytes, bounded_batches, release_worker
-from meshtide.llm.training import Sample, sample
+from meshtide.llm.training import Sample, fitted
 
 BITS = 17
 MAX_ROWS = 3000
@@ -64,7 +64,8 @@ def train(rows: Sample, bits: int = BITS, dim: int = 16, updates: int = 12_000,
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Model:
     """Learn from the labels outside the held-out third, crc32(doc_id) mod 3 = 1."""
-    return train(sample(docs, labels.where(~held_out()), "quality", bits, MAX_ROWS, MAX_FEATURES), bits)
+    known = labels.where(~held_out())
+    return Model(**fitted(docs, known, "quality", bits, MAX_ROWS, MAX_FEATURES, lambda rows: train(rows, bits)))
 
 
 def held_out():

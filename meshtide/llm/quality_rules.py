@@ -1,6 +1,6 @@
 """Quality rules: counted rules, and a calibrated logistic regression over hashed n-grams against a fixed threshold.
 
-The regression is trained on labelled quality rows (a bounded sample, see ``training.sample``); a quarter of the sample
+The regression is trained on labelled quality rows (a bounded sample, see ``training.fitted``); a quarter of the sample
 is kept from training and sets the calibration (a sigmoid fitted with smoothed targets). Everything is scored in Arrow
 batches, in one pass without a shuffle; every count covers the whole text.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from meshtide.llm.ngrams import blocks, sums
 from meshtide.llm.shared import arrow_map, as_bytes
-from meshtide.llm.training import Sample, sample
+from meshtide.llm.training import Sample, fitted
 
 BITS = 17
 MAX_ROWS = 3000
@@ -74,7 +74,7 @@ def calibrate(z: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Rules:
-    return train(sample(docs, labels, "quality", bits, MAX_ROWS, MAX_FEATURES), bits)
+    return Rules(**fitted(docs, labels, "quality", bits, MAX_ROWS, MAX_FEATURES, lambda rows: train(rows, bits)))
 
 
 def repeated_words(words: list[bytes], joined: bytes, window: int = WINDOW) -> int:

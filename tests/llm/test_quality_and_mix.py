@@ -38,6 +38,20 @@ def test_classifier_reads_no_held_out_label(spark):
     assert (quality_classifier.fit(docs, known).value == quality_classifier.fit(docs, flipped).value).all()
 
 
+def test_driver_gathers_the_model_and_no_sample(spark, monkeypatch):
+    """The sample's features are learned from in a task: keys and sizes of its rows and the model reach the driver, nothing else."""
+    frame, got = type(spark.range(0)), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(real(self)) or got[-1])
+    for fit, bits in ((quality_classifier.fit, 10), (quality_rules.fit, 10)):
+        got.clear()
+        model = fit(documents(spark, SF), labels(spark, SF), bits)
+        assert any(len(v) == 1 << bits for v in vars(model).values() if isinstance(v, np.ndarray))
+        rows = [r for rows in got for r in rows]
+        size = sum(len(v) for r in rows for v in r if isinstance(v, str | bytes | bytearray))
+        assert len(rows) > 200 and size < 32 * len(rows) + (16 << bits)
+
+
 def test_awkward_rows_and_empty_tables(spark, docs, no_docs, awkward):
     known = spark.createDataFrame([(5, 1), (5, None), (None, 1), (17, 0), (99, 1)], "doc_id long, quality int")
     for table, n in ((docs, len(awkward)), (no_docs, 0)):
